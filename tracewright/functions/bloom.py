@@ -17,22 +17,21 @@ def _jvm(frame: DataFrame):
     return frame.sparkSession._jvm
 
 
-def bloom_filter(keys: DataFrame, column: str, max_bits: int = MAX_BITS) -> bytes | None:
-    """The serialised filter of the non-null values of ``column``; built by partial aggregation. None of an empty table."""
+def bloom_filter(keys: DataFrame, column: str, max_bits: int = MAX_BITS) -> DataFrame:
+    """One row, one column ``filter``: the filter of the non-null values of ``column``, built by partial aggregation. Null of an empty table."""
     jvm = _jvm(keys)
-    distinct = keys.filter(F.col(column).isNotNull()).select(F.xxhash64(column).alias("h"))
+    hashed = keys.filter(F.col(column).isNotNull()).select(F.xxhash64(column).alias("h"))
     module = getattr(getattr(jvm.org.apache.spark.sql, "Column$"), "MODULE$")
     inputs = [F.col("h"), F.lit(max_bits // 8).cast("bigint"), F.lit(max_bits).cast("bigint")]
     built = Column(module.internalFn("bloom_filter_agg", jvm.org.apache.spark.api.python.PythonUtils.toSeq([c._jc for c in inputs])))
-    found = distinct.agg(built.alias("filter")).first()["filter"]
-    return None if found is None else bytes(found)
+    return hashed.agg(built.alias("filter"))
 
 
-def might_contain(frame: DataFrame, filter_bytes: bytes | None, value: Column) -> Column:
-    """False only if ``value`` is surely none of the filter's keys."""
-    if filter_bytes is None:
-        return F.lit(False)
-    jvm = _jvm(frame)
+def might_contain(filters: DataFrame, value: Column) -> Column:
+    """False only if ``value`` is surely none of the filter's keys. The filter is a subquery: it is sent to the executors once, and no
+    plan holds its bytes."""
+    jvm = _jvm(filters)
     utils = jvm.org.apache.spark.sql.classic.ExpressionUtils
-    literal, hashed = F.lit(bytearray(filter_bytes)), F.xxhash64(value)
-    return Column(utils.column(jvm.org.apache.spark.sql.catalyst.expressions.BloomFilterMightContain(utils.expression(literal._jc), utils.expression(hashed._jc))))
+    held, hashed = utils.expression(filters.scalar()._jc), utils.expression(F.xxhash64(value)._jc)
+    test = Column(utils.column(jvm.org.apache.spark.sql.catalyst.expressions.BloomFilterMightContain(held, hashed)))
+    return F.coalesce(test, F.lit(False))

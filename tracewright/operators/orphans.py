@@ -61,9 +61,9 @@ def orphans(child: DataFrame, column: str, parents: DataFrame, key: str, deletio
     refs = child.select(F.col(row).alias("row"), same_key(F.col(column)).alias("key"), F.col(loaded).alias("seen")).filter("key is not null")
     refs = refs.withColumn("period", F.date_format("seen", "yyyy-MM"))
     known = bloom_filter(parents.select(same_key(F.col(key)).alias("key")), "key", max_bits)
-    refs = refs.withColumn("maybe", might_contain(child, known, F.col("key")))
-    proven = refs.filter(~F.col("maybe")).select("row", F.lit("missing").alias("reason"), "period")
-    checked = lookup(refs.filter("maybe"), presence(parents, key, deletions), "key", "row", rows=broadcast_rows)
+    # A reference that the filter rejects is proven to be an orphan: it goes on without a key, so it takes no part in the join.
+    refs = refs.withColumn("key", F.when(might_contain(known, F.col("key")), F.col("key")))
+    checked = lookup(refs, presence(parents, key, deletions), "key", "row", rows=broadcast_rows)
     there = F.exists("spans", lambda s: (s["since"] <= F.col("seen")) & (s["until"].isNull() | (s["until"] > F.col("seen"))))
     reason = (
         F.when(F.col("first_load").isNull(), "missing")
@@ -71,8 +71,7 @@ def orphans(child: DataFrame, column: str, parents: DataFrame, key: str, deletio
         .when(F.col("first_load") > F.col("seen"), "late")
         .otherwise("deleted")
     )
-    verified = checked.select("row", reason.alias("reason"), "period").filter("reason is not null")
-    return proven.unionByName(verified).withColumnRenamed("row", row)
+    return checked.select(F.col("row").alias(row), reason.alias("reason"), "period").filter("reason is not null")
 
 
 def orphans_of(references: list[Reference], tables: dict[str, DataFrame], deletions: DataFrame, **options) -> DataFrame:
