@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewright.llm import pii
+from tracewright.llm import garbled, pii
 from tracewright.session import table
 
 PERSONAL = (("documents", "doc_id", "text"), ("id_password_hash", "row_id", "contents"), ("call_history", "row_id", "phonenumber"))
@@ -27,5 +27,13 @@ def p4_redacted(spark: SparkSession, d: str) -> DataFrame:
     return _personal(spark, d, pii.redact_column).select("table_name", "row_id", "redacted")
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_redacted)}
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return garbled.find_garbled(table(spark, d, "documents"), "doc_id", ("text", "title", "author")).select("doc_id", "field_name")
+
+
+def p6_repaired(spark: SparkSession, d: str) -> DataFrame:
+    return garbled.find_garbled(table(spark, d, "documents"), "doc_id", ("text", "title", "author"))
+
+
+QUERIES = {f.__name__: f for f in (p4_found, p4_redacted, p6_found, p6_repaired)}
 ORACLES: dict[str, str] = {}
