@@ -7,8 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewright.llm import garbled, pii
-from tracewright.session import table
+from tracewright.llm import garbled, packing, pii, tokens, truncation
+from tracewright.session import cut, table
 
 PERSONAL = (("documents", "doc_id", "text"), ("id_password_hash", "row_id", "contents"), ("call_history", "row_id", "phonenumber"))
 
@@ -35,5 +35,31 @@ def p6_repaired(spark: SparkSession, d: str) -> DataFrame:
     return garbled.find_garbled(table(spark, d, "documents"), "doc_id", ("text", "title", "author"))
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_redacted, p6_found, p6_repaired)}
+def p7_ids(spark: SparkSession, d: str) -> DataFrame:
+    return tokens.token_ids(table(spark, d, "documents"), "doc_id", "text")
+
+
+def _packed(spark: SparkSession, d: str) -> DataFrame:
+    sizes = cut(tokens.token_counts(table(spark, d, "documents"), "doc_id", "text"))
+    return packing.pack(sizes, "doc_id", "tokens", table(spark, d, "container_sizes"), "container_class", "capacity_tokens")
+
+
+def p8_packed(spark: SparkSession, d: str) -> DataFrame:
+    return _packed(spark, d)
+
+
+def p8_report(spark: SparkSession, d: str) -> DataFrame:
+    return packing.fill_report(_packed(spark, d), table(spark, d, "container_sizes"), "container_class", "capacity_tokens")
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return truncation.find_truncated(table(spark, d, "documents"), "doc_id", "text").select("doc_id")
+
+
+def p9_report(spark: SparkSession, d: str) -> DataFrame:
+    documents = table(spark, d, "documents")
+    return truncation.truncation_report(documents, truncation.find_truncated(documents, "doc_id", "text"), "doc_id", "source", "text")
+
+
+QUERIES = {f.__name__: f for f in (p4_found, p4_redacted, p6_found, p6_repaired, p7_ids, p8_packed, p8_report, p9_found, p9_report)}
 ORACLES: dict[str, str] = {}
