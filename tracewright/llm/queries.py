@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewright.llm import garbled, packing, pii, tokens, truncation
+from tracewright.llm import garbled, neardup, packing, pii, tokens, truncation
 from tracewright.session import cut, table
 
 PERSONAL = (("documents", "doc_id", "text"), ("id_password_hash", "row_id", "contents"), ("call_history", "row_id", "phonenumber"))
@@ -27,6 +27,14 @@ def p4_redacted(spark: SparkSession, d: str) -> DataFrame:
     return _personal(spark, d, pii.redact_column).select("table_name", "row_id", "redacted")
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return neardup.similar_pairs(table(spark, d, "documents"), "doc_id", "text")
+
+
+def p5_groups(spark: SparkSession, d: str) -> DataFrame:
+    return neardup.similar_groups(table(spark, d, "documents"), "doc_id", "text")
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return garbled.find_garbled(table(spark, d, "documents"), "doc_id", ("text", "title", "author")).select("doc_id", "field_name")
 
@@ -61,5 +69,5 @@ def p9_report(spark: SparkSession, d: str) -> DataFrame:
     return truncation.truncation_report(documents, truncation.find_truncated(documents, "doc_id", "text"), "doc_id", "source", "text")
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_redacted, p6_found, p6_repaired, p7_ids, p8_packed, p8_report, p9_found, p9_report)}
+QUERIES = {f.__name__: f for f in (p4_found, p4_redacted, p5_found, p5_groups, p6_found, p6_repaired, p7_ids, p8_packed, p8_report, p9_found, p9_report)}
 ORACLES: dict[str, str] = {}
