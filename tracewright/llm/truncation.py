@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracewright.functions.bloom import bloom_filter, might_contain
+from tracewright.session import cut
 
 #: A text whose last words are final in less than this share of their occurrences doesn't end there.
 FINAL_SHARE = 0.012
@@ -27,11 +28,11 @@ CLOSING_SHARE = 0.25
 FOLLOW_SHARE = 0.005
 KNOWN = 200
 #: The last four words are looked for in so many last characters; if there are fewer than eight words, in the whole text.
-TAIL = 600
+TAIL = 300
 
 # Classes of words, applied in this order to the lower-cased text.
 _CLASSES = (
-    (r"(?<![\w])(?:0x)?(?:[0-9a-f]{64}|[0-9a-f]{40}|[0-9a-f]{32}|(?=[a-f]*[0-9])[0-9a-f]{8})(?![\w])", " hash "),
+    (r"\b(?:0x)?(?=[a-f]*[0-9])[0-9a-f]{8}(?:[0-9a-f]{24}(?:[0-9a-f]{8}(?:[0-9a-f]{24})?)?)?\b", " hash "),
     (r"(?<![\w])(?:[a-z]:)?[\\/][^\s,;\"“”)\]]*[^\s,;\"“”)\].:!?]", " path "),
     (r"(?<![\p{L}\d])\p{L}[\p{L}\d+\-]*(?:[._@][\p{L}\d+\-]+)+", " thing "),
     (r"\d+(?:[.:\-]\d+)*", "0"),
@@ -55,8 +56,11 @@ def final_keys(frame: DataFrame, row: str, text: str) -> DataFrame:
     and the one before the last."""
     read = frame.filter(F.col(text).rlike(r"\S")).select(F.col(row).alias("row"), F.col(text).alias("text"))
     tail = tokens(F.right(F.rtrim("text"), F.lit(TAIL)))
-    read = read.withColumn("tail", tail).withColumn("tail", F.when(F.size("tail") >= 8, F.col("tail")).otherwise(tokens(F.col("text"))))
+    # explode(array(x)) keeps the optimiser from evaluating x once for each use
+    read = read.select("row", "text", F.explode(F.array(tail)).alias("tail"))
+    read = read.select("row", F.explode(F.array(F.when(F.size("tail") >= 8, F.col("tail")).otherwise(tokens(F.col("text"))))).alias("tail"))
     read = read.withColumn("w", F.concat(F.array(F.lit("^"), F.lit("^"), F.lit("^")), F.slice("tail", F.greatest(F.size("tail") - 3, F.lit(1)), F.lit(4))))
+    read = read.select("row", F.explode(F.array("w")).alias("w"))
     a, b, c = (F.element_at("w", -i) for i in (3, 2, 1))
     return read.select("row", c.rlike(r"^\p{L}").alias("word"), c.rlike(r"^(?:[.!?。\"”“»)\]]|\p{So})").alias("mark"), F.xxhash64(a, b, c).alias("k3"), F.xxhash64(b, c).alias("k2"), F.xxhash64(c).alias("k1"), F.xxhash64(a, b).alias("p2"), F.xxhash64(b).alias("p1"))
 
@@ -77,7 +81,7 @@ def find_truncated(frame: DataFrame, row: str, text: str, final_share: float = F
     Null, empty and blank texts are no cases, and an empty table has none. Every text counts in the statistics, repeated ones too.
     Texts of fewer than three words are padded. Whole texts are counted.
     """
-    ends = final_keys(frame, row, text)
+    ends = cut(final_keys(frame, row, text))
     wanted = bloom_filter(ends.select(F.explode(F.array(*_KEYS)).alias("k")), "k", max_bits=1 << 24)
     counts = all_keys(frame, text, wanted).groupBy("k").agg(F.count(F.lit(1)).alias("n"))
     final = ends.select(F.explode(F.array("k3", "k2", "k1")).alias("k")).groupBy("k").agg(F.count(F.lit(1)).alias("f"))
