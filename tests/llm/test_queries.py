@@ -1,0 +1,11 @@
+import pytest
+
+from tracewright.llm import queries
+
+
+@pytest.mark.parametrize("name", sorted(queries.QUERIES))
+def test_query(spark, data, name):
+    got = queries.QUERIES[name](spark, data)
+    assert got.count() > 0
+    want = {"p4_found": ["table_name", "row_id", "pii_type", "pii_text"], "p5_found": ["doc_a", "doc_b"], "p6_found": ["doc_id", "field_name"], "p7_ids": ["doc_id", "ids"], "p9_found": ["doc_id"]}
+    assert name not in want or got.columns == want[name]
