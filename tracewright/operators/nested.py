@@ -17,6 +17,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tracewright.session import spread
+
 NODE_SCHEMA = "node string, parent_node string, subtype string, variant string, depth int, position int, fields string"
 
 
@@ -146,7 +148,7 @@ def explode_nested(frame: DataFrame, column: str, roots: tuple[str, ...], row: s
             yield out
 
     kind = frame.schema[row].dataType.simpleString()
-    read = frame.select(F.col(row).alias("r"), F.col(column).cast("string").alias("t")).filter(F.col("t").isNotNull())
+    read = spread(frame.select(F.col(row).alias("r"), F.col(column).cast("string").alias("t")).filter(F.col("t").isNotNull()))
     return read.mapInPandas(run, f"r {kind}, {NODE_SCHEMA}").withColumnRenamed("r", row)
 
 

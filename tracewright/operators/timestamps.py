@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracewright.functions.zones import clean_zone, fixed_offset, instants, zone_names
-from tracewright.session import BROADCAST_ROWS, lookup
+from tracewright.session import BROADCAST_ROWS, lookup, spread
 
 SECOND = 1_000_000
 #: Microseconds from 1601-01-01 to 1970-01-01.
@@ -113,8 +113,9 @@ def normalise_timestamps(frame: DataFrame, evidence: DataFrame, value: str = "ti
     Null keys, repeated rows and an empty table are fine; other columns of ``frame`` aren't read, so none can clash.
     """
     spark = frame.sparkSession
-    text = F.regexp_replace(F.trim(F.regexp_replace(F.col(value), r"^\s+|\s+$", "")), ANNOTATION, "")
-    facts = frame.select(F.col(row).alias("_row"), F.col(key).alias("_key"), text.alias("_text"))
+    text = F.regexp_replace(F.trim(F.regexp_replace("_value", r"^\s+|\s+$", "")), ANNOTATION, "")
+    facts = spread(frame.select(F.col(row).alias("_row"), F.col(key).alias("_key"), F.col(value).alias("_value")))
+    facts = facts.select("_row", "_key", text.alias("_text"))
     facts = facts.withColumn("_count", count_micros(F.col("_text")))
     facts = facts.withColumn("_part", F.when(F.col("_count").isNull(), F.split(record_of(F.col("_text")), r"\|")))
     facts = facts.select("*", F.nullif(F.col("_part")[8], F.lit("")).alias("_own"))

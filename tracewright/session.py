@@ -72,3 +72,9 @@ def lookup(facts: DataFrame, small: DataFrame, key: str, salt_by: str, how: str
     salted = facts.withColumn("_salt", F.pmod(F.xxhash64(salt_by), F.lit(SALTS)).cast("int"))
     repeated = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     return salted.join(repeated, [key, "_salt"], how).drop("_salt")
+
+
+def spread(frame: DataFrame) -> DataFrame:
+    """Deal the rows of a scan anew if it has fewer partitions than there are cores, as one small file has; other inputs stay as they are."""
+    cores = frame.sparkSession.sparkContext.defaultParallelism
+    return frame.repartition(cores) if frame.rdd.getNumPartitions() < cores else frame
