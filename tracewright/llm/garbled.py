@@ -17,6 +17,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tracewright.session import spread
+
 #: Bytes that have no character in the most usual legacy encoding pass through as control characters, as browsers do it.
 _SLOPPY = {ord(bytes([b]).decode("cp1252")): b for b in range(0x80, 0xA0) if b not in (0x81, 0x8D, 0x8F, 0x90, 0x9D)}
 #: (read with by mistake, meant). The first group proves itself, since hardly any other text is valid in UTF-8; of the others a word must come
@@ -204,4 +206,4 @@ def find_garbled(frame: DataFrame, row: str, fields: tuple[str, ...]) -> DataFra
 
     kind = frame.schema[row].dataType.simpleString()
     read = frame.select(F.col(row).alias("r"), *(F.col(f).cast("string").alias(f) for f in fields))
-    return read.mapInPandas(run, f"r {kind}, field_name string, restored string, encodings string").withColumnRenamed("r", row)
+    return spread(read).mapInPandas(run, f"r {kind}, field_name string, restored string, encodings string").withColumnRenamed("r", row)

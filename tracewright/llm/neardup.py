@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracewright.functions.bloom import bloom_filter, might_contain
-from tracewright.session import cut
+from tracewright.session import cut, spread
 
 WORDS = 3
 THRESHOLD = 0.6
@@ -136,7 +136,7 @@ def _features(frame: DataFrame, row: str, text: str, width: int) -> DataFrame:
 
     kind = frame.schema[row].dataType.simpleString()
     read = frame.select(F.col(row).alias("r"), F.col(text).cast("string").alias("t")).filter(F.col("t").isNotNull())
-    return read.mapInArrow(run, f"id {kind}, f1 bigint, f2 bigint, bands array<bigint>, sketch array<bigint>")
+    return spread(read).mapInArrow(run, f"id {kind}, f1 bigint, f2 bigint, bands array<bigint>, sketch array<bigint>")
 
 
 def _differing(a: Column, b: Column, words: int = SKETCH_BITS // 64) -> Column:

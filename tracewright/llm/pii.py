@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracewright.llm.boosting import Boosted
+from tracewright.session import spread
 
 TYPES = ("email", "phone", "id_number", "address", "person")
 NAME_BUCKETS = 1 << 18
@@ -462,7 +463,7 @@ def _per_batch(frame: DataFrame, row: str, column: str, names: Names, model: Mod
             yield make(batch["r"], texts, mentions_of(texts, own, model))
 
     read = frame.select(F.col(row).alias("r"), F.col(column).cast("string").alias("t"))
-    return read.mapInPandas(run, schema)
+    return spread(read).mapInPandas(run, schema)
 
 
 def list_mentions(frame: DataFrame, row: str, column: str, names: Names, model: Model | None = None) -> DataFrame:

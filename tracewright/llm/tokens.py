@@ -17,6 +17,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tracewright.session import spread
+
 #: Fixed value: how byte-level BPE splits a text into pre-tokens.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -172,7 +174,7 @@ def token_ids(frame: DataFrame, row: str, text: str, vocabulary: str = VOCABULAR
 
     kind = frame.schema[row].dataType.simpleString()
     read = frame.select(F.col(row).alias("r"), F.col(text).cast("string").alias("t"))
-    return read.mapInArrow(run, f"r {kind}, ids array<int>").withColumnRenamed("r", row)
+    return spread(read).mapInArrow(run, f"r {kind}, ids array<int>").withColumnRenamed("r", row)
 
 
 def token_counts(frame: DataFrame, row: str, text: str, vocabulary: str = VOCABULARY, pattern: str = PATTERN) -> DataFrame:
@@ -187,4 +189,4 @@ def token_counts(frame: DataFrame, row: str, text: str, vocabulary: str = VOCABU
 
     kind = frame.schema[row].dataType.simpleString()
     read = frame.select(F.col(row).alias("r"), F.col(text).cast("string").alias("t"))
-    return read.mapInArrow(run, f"r {kind}, tokens bigint").withColumnRenamed("r", row)
+    return spread(read).mapInArrow(run, f"r {kind}, tokens bigint").withColumnRenamed("r", row)

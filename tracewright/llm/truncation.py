@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracewright.functions.bloom import bloom_filter, might_contain
-from tracewright.session import cut
+from tracewright.session import cut, spread
 
 #: A text whose last words are final in less than this share of their occurrences doesn't end there.
 FINAL_SHARE = 0.012
@@ -81,6 +81,7 @@ def find_truncated(frame: DataFrame, row: str, text: str, final_share: float = F
     Null, empty and blank texts are no cases, and an empty table has none. Every text counts in the statistics, repeated ones too.
     Texts of fewer than three words are padded. Whole texts are counted.
     """
+    frame = spread(frame.select(row, text))
     ends = cut(final_keys(frame, row, text))
     wanted = bloom_filter(ends.select(F.explode(F.array(*_KEYS)).alias("k")), "k", max_bits=1 << 24)
     counts = all_keys(frame, text, wanted).groupBy("k").agg(F.count(F.lit(1)).alias("n"))
