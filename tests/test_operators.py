@@ -104,3 +104,50 @@ def test_registry():
     except KeyError:
         pass
     assert fitting_plugins({"x": {"t"}, "y": {"t", "u"}}, {"t"}) == ["x"]
+
+
+def test_browser(spark):
+    from tracewright.plans import browser as B
+
+    urls = spark.createDataFrame([(1, "https://www.google.com/q", "T", 13277989822083577), (2, "https://a.test", None, 0)], "id int, url string, title string, last_visit_time bigint")
+    terms = spark.createDataFrame([(1, "x"), (9, "lost")], "url_id int, term string")
+    assert rows(B.search_terms(terms, urls)) == [("x", "https://www.google.com/q", "Google", "2021-10-06T10:30:22.083577")]
+    visits = spark.createDataFrame([(1, 1, 0, 7, 1, 0, 0), (2, 2, 1, 8, 0x30000000, 13277989822083577, 61_000_000)], "id int, url int, from_visit int, segment_id int, transition bigint, visit_time bigint, visit_duration bigint")
+    got = {r["id"]: r for r in B.visit_history(visits, urls, spark.createDataFrame([(7, "s")], "id int, name string")).collect()}
+    assert (got[1]["from_url"], got[1]["segment"], got[1]["visited"], got[1]["core"]) == ("", "s", "", "typed")
+    assert (got[2]["from_url"], got[2]["title"], got[2]["segment"], got[2]["qualifiers"], got[2]["duration"]) == ("https://www.google.com/q", "", "", "chain_start|chain_end", "0:01:01")
+    places = spark.createDataFrame([(1, "u1", "t")], "id int, url string, title string")
+    steps = spark.createDataFrame([(1, 1, 0, 1, 1609493672426000), (2, 1, 1, 99, 5)], "id int, place_id int, from_visit int, visit_type int, visit_date bigint")
+    assert {(r["id"], r["from_url"], r["kind"]) for r in B.place_history(steps, places).collect()} == {(1, "0", "Link"), (2, "u1", "99")}
+    targets = spark.createDataFrame([(1, 1, "a"), (1, 2, "b"), (2, 3, "c")], "place_id int, target_id int, target string")
+    details = spark.createDataFrame([(1, 1, "x"), (1, 2, "y"), (2, 3, "p"), (2, 4, "q")], "place_id int, detail_id int, detail string")
+    assert rows(B.downloads(targets, details)) == [(1, "a", "x"), (1, "b", "y"), (2, "c", "p"), (2, "c", "q")]
+    profile = spark.createDataFrame([("p", '{"roots": {"bookmark_bar": {"name": "bar", "children": [{"name": "n"}]}}, "zoom": {"a.test": 2}}')], "profile string, j string")
+    assert [r["path"] for r in B.bookmarks(profile, "j").collect()] == ["/bar", "/bar/n"] and rows(B.site_settings(profile, "j", "$.zoom")) == [("p", "a.test", "2")]
+    assert B.cookies(spark.createDataFrame([("h", "n")], "host_key string, name string")).first()["same_site"] == ""
+    icon = B.icons(spark.createDataFrame([("pg", 1), ("px", 2)], "page_url string, icon_id int"), spark.createDataFrame([(1, "i")], "id int, url string"), spark.createDataFrame([(1, 16, 16)], "icon_id int, width int, height int"))
+    assert rows(icon) == [("pg", "i", 16, 16), ("px", None, None, None)]
+
+
+def test_mobile(spark):
+    from tracewright.plans import mobile as M
+
+    addresses = spark.createDataFrame([(1, 0x89, "f2", 2), (1, 0x89, "f1", 1), (1, 0x97, "t", 3)], "msg_id int, type int, address string, _id int")
+    got = M.mms(spark.createDataFrame([(1, 10), (2, 20)], "_id int, date bigint"), addresses, spark.createDataFrame([(1, "text/plain", "hi")], "mid int, ct string, text string"))
+    assert {(r["_id"], r["from"], r["to"], r["cc"], r["text"]) for r in got.collect()} == {(1, "f1", "t", None, "hi"), (2, None, None, None, None)}
+    assert {r["kind"] for r in M.calls(spark.createDataFrame([("1", 3, 0, 5), ("1", 77, 0, 5)], "number string, type int, date bigint, duration int")).collect()} == {"Missed", "77"}
+    assert M.sms(spark.createDataFrame([("a", 2, 0, "b")], "address string, type int, date bigint, body string").select("*")).first()["at"] is None
+    files = spark.createDataFrame([(1, "/data/data/x.y/db/a"), (2, "/data/user/0/x.y/f"), (3, "/sys/f")], "row_id int, path string")
+    apps = spark.createDataFrame([(10, "x.y"), (11, "x.y")], "uid int, package string")
+    assert {r["row_id"]: r["matched_package"] for r in M.files_of_apps(files, apps).collect()} == {1: "x.y", 2: "x.y", 3: None}
+
+
+def test_classifier(spark):
+    from tracewright.plans import classifier as C
+
+    docs = spark.createDataFrame([(i, ("red apple pie" if i % 2 else "blue sea wave") + f" {i}", "food" if i % 2 else "water") for i in range(60)] + [(99, None, None)], "id int, t string, label string")
+    model = C.train(docs, "t", "label", "id")
+    pairs = docs.join(C.classify(docs, model, "id", "t"), "id").filter("label is not null")
+    assert C.figures(C.confusion(pairs, "label", "predicted"), "label", "predicted").first()["f1"] == 1.0
+    from pyspark.sql import functions as F
+    assert spark.range(1).select(C.padded(F.array(F.lit("b")), 3).alias("x")).first()["x"] == ["", "", "b"]

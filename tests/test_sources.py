@@ -75,3 +75,11 @@ def test_logs_and_xml(spark, tmp_path):
     xml = '<Event xmlns="u"><System><EventID>4624</EventID><TimeCreated SystemTime="T"/><Channel>Security</Channel><Security UserID="S-1"/></System></Event>'
     row = S.event_texts(spark.createDataFrame([(xml,)], "x string"), "x").first()
     assert tuple(row)[1:] == ("4624", "Security", "T", "S-1")
+
+
+def test_document_texts(spark, tmp_path):
+    with zipfile.ZipFile(tmp_path / "a.docx", "w") as z:
+        z.writestr("word/document.xml", '<w:d xmlns:w="u"><w:t>Hello</w:t><w:t>there</w:t></w:d>')
+        z.writestr("word/settings.xml", '<w:s xmlns:w="u"><w:rsidRoot w:val="00A1"/><w:rsid w:val="00B2"/></w:s>')
+    (tmp_path / "b.docx").write_bytes(b"broken")
+    assert [tuple(r)[1:] for r in S.document_texts(S.contents(spark, str(tmp_path), "*.docx")).collect()] == [("docx", "Hello there", "00A100B2")]

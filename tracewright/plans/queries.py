@@ -516,3 +516,44 @@ def document_flags(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents")
     right = (F.col("text").isNotNull() & (F.col("n_chars") == F.length("text"))).cast("int")
     return docs.groupBy("source").agg(F.count(F.lit(1)).alias("documents"), F.sum(F.coalesce(right, F.lit(0))).alias("right_length"), F.sum(F.lower("ext").isin("docx", "hwp").cast("int")).alias("office"))
+
+
+@query()
+def ml_classifier(spark: SparkSession, d: str) -> DataFrame:
+    """The source of each document from its words; figures over all documents."""
+    from tracewright.plans import classifier as C
+
+    docs = table(spark, d, "documents").select("doc_id", "text", "source")
+    model = C.train(docs, "text", "source", "doc_id")
+    pairs = docs.join(C.classify(docs, model, "doc_id", "text"), "doc_id")
+    return C.figures(C.confusion(pairs, "source", "predicted"), "source", "predicted")
+
+
+@query("""with r as (select * from (values ('signup', 'Account', 'created'), ('error', 'Fault', 'failed'), ('purchase', 'Order', 'bought')) v(event_type, category, description))
+    select event_id, category, description from events join r using (event_type)""")
+def category_rules(spark: SparkSession, d: str) -> DataFrame:
+    rules = spark.createDataFrame([("signup", "Account", "created"), ("error", "Fault", "failed"), ("purchase", "Order", "bought")], "event_type string, category string, description string")
+    return table(spark, d, "events").join(F.broadcast(rules), "event_type").select("event_id", "category", "description")
+
+
+@query("""select row_id, case when coalesce(account, '') = '' then 'Outgoing' else 'Incoming' end as direction, substring(contents, 3, 3) as message from call_history
+    union all select -row_id, 'Login', substring(contents, 3, 3) from id_password_hash""")
+def communication_union(spark: SparkSession, d: str) -> DataFrame:
+    calls, logins = table(spark, d, "call_history"), table(spark, d, "id_password_hash")
+    direction = F.when(F.coalesce("account", F.lit("")) == "", "Outgoing").otherwise("Incoming")
+    return R.union_of([calls.select("row_id", direction.alias("direction"), texts.masked(F.col("contents"), 3, 3).alias("message")), logins.select((-F.col("row_id")).alias("row_id"), F.lit("Login").alias("direction"), texts.masked(F.col("contents"), 3, 3).alias("message"))])
+
+
+@query("""select row_id, split_part(file_name, chr(92), -1) as process_name, last_run_time as execution_time, 'UserAssist' as source from lv1_os_win_reg_user_assist where try_cast(last_run_time as timestamptz) > timestamptz '1970-01-01 00:00:00+00'
+    union all select -event_id, event_type, strftime(ts, '%Y-%m-%d %H:%M:%S'), 'Event' from events""")
+def app_history_union(spark: SparkSession, d: str) -> DataFrame:
+    u = table(spark, d, "lv1_os_win_reg_user_assist").filter(times.after_epoch(F.col("last_run_time")))
+    first = u.select("row_id", texts.base_name(F.col("file_name")).alias("process_name"), F.col("last_run_time").alias("execution_time"), F.lit("UserAssist").alias("source"))
+    second = table(spark, d, "events").select((-F.col("event_id")).alias("row_id"), F.col("event_type").alias("process_name"), _text("ts").alias("execution_time"), F.lit("Event").alias("source"))
+    return R.union_of([first, second])
+
+
+@query("select evd_id, filesystem, count(*) as volumes, sum(par_size)::bigint as bytes, count(*) filter (md5 is null) as unhashed from partition_info group by all")
+def volume_report(spark: SparkSession, d: str) -> DataFrame:
+    p = table(spark, d, "partition_info")
+    return p.groupBy("evd_id", "filesystem").agg(F.count(F.lit(1)).alias("volumes"), F.sum("par_size").alias("bytes"), F.count(F.when(F.col("md5").isNull(), 1)).alias("unhashed"))

@@ -198,3 +198,26 @@ def event_texts(frame: DataFrame, xml: str) -> DataFrame:
     get = lambda p: F.nullif(F.xpath_string(F.col(xml), F.lit(p)), F.lit(""))
     name = lambda n: f"//*[local-name()='{n}']"
     return frame.select("*", get(name("EventID")).alias("event_id"), get(name("Channel")).alias("channel"), get(name("TimeCreated") + "/@SystemTime").alias("time_created"), get(name("Security") + "/@UserID").alias("user_sid"))
+
+
+def document_texts(frame: DataFrame) -> DataFrame:
+    """(path, kind, text, revisions) of office documents and plain texts: the words of their XML, and the revision ids of text documents."""
+    import re
+    import xml.etree.ElementTree as tree
+
+    bodies = {"docx": r"word/document\.xml", "pptx": r"ppt/slides/slide\d+\.xml", "xlsx": r"xl/sharedStrings\.xml"}
+
+    def decode(path: str, content: bytes) -> list[tuple]:
+        kind = path.rpartition(".")[2].lower()
+        if kind == "txt":
+            return [(kind, content.decode("utf-8", "replace"), "")]
+        if kind not in bodies:
+            return []
+        with zipfile.ZipFile(io.BytesIO(content)) as z:
+            names = sorted((n for n in z.namelist() if re.fullmatch(bodies[kind], n)), key=lambda n: [int(x) for x in re.findall(r"\d+", n)])
+            words = [e.text for n in names for e in tree.fromstring(z.read(n)).iter() if e.tag.rpartition("}")[2] == "t" and e.text]
+            settings = tree.fromstring(z.read("word/settings.xml")).iter() if "word/settings.xml" in z.namelist() else []
+            ids = [v for e in settings if e.tag.rpartition("}")[2].startswith("rsid") for v in e.attrib.values()]
+        return [(kind, " ".join(words), "".join(ids))]
+
+    return decoded(frame, decode, "kind string, text string, revisions string")
