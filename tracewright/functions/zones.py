@@ -86,6 +86,8 @@ def zone_names(spark: SparkSession) -> DataFrame:
     names |= {k.lower(): v for k, v in DISPLAY_CITIES.items()}
     names |= {k.lower(): v for k, v in SYSTEM_NAMES.items()}
     names |= {k.lower(): v for k, v in ABBREVIATIONS.items()}
+    known = set(spark._jvm.java.time.ZoneId.getAvailableZoneIds().toString().strip("[]").split(", "))  # the engine may know fewer zones than Python
+    names = {k: v for k, v in names.items() if v in known or v[0] in "+-"}
     return spark.createDataFrame(sorted(names.items()), "zone_key string, zone string")
 
 
