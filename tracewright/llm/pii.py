@@ -65,6 +65,8 @@ NUMBER_FORMATS = tuple(
         ("phone", "international", rf"\+\d{{1,3}}{_S}?(?:\(0\){_S}?)?\d{{1,5}}(?:{_S}?\d{{2,6}}){{1,4}}"),
     )
 )
+#: Whether any of the formats occurs at all: one search instead of one for each.
+_ANY_NUMBER = re.compile("|".join(f"(?:{p.pattern})" for _, _, p in NUMBER_FORMATS))
 
 _STREET = r"(?:Street|St|Avenue|Ave|Lane|Ln|Road|Rd|Court|Ct|Drive|Dr|Boulevard|Blvd|Way|Close|Place|Square|Terrace|Crescent|Row|Hill)"
 _POST = r"\d{4,5}"
@@ -147,6 +149,8 @@ def spans_of(text: str) -> list[Span]:
 def _numbers(text: str, start: int, end: int) -> list[Span]:
     """The formats that a run of digits and separators has; if it has none, those of its parts between blanks."""
     part = text[start:end]
+    if not _ANY_NUMBER.search(part):
+        return []
     found = [Span(start, end, TYPES.index(kind), form) for form, (kind, _, pattern) in enumerate(NUMBER_FORMATS) if pattern.fullmatch(part)]
     if found:
         return found
