@@ -162,3 +162,14 @@ def test_truncated(spark):
     report = {r["source"]: r for r in truncation.truncation_report(frame, found, "doc_id", "source", "text").collect()}
     assert report["s"]["texts"] == 3000 and report["s"]["cut"] == len(got)
     assert truncation.find_truncated(frame.limit(0), "doc_id", "text").count() == 0
+
+
+def test_clashing_columns_and_long_texts(spark):
+    long = "The amber file was opened from the birch share at noon. " * 3000
+    frame = spark.createDataFrame([(1, long, "a", "b", 1, 2), (2, None, None, None, None, None)], "doc_id bigint, text string, word string, row string, k3 int, n int")
+    assert truncation.find_truncated(frame, "doc_id", "text").count() == 0
+    items = spark.createDataFrame([(1, 5, "a", 1), (1, 5, "a", 1), (2, None, None, None)], "doc_id bigint, tokens bigint, cls string, g int")
+    classes = spark.createDataFrame([("s", 10)], "container_class string, capacity_tokens int")
+    packed = packing.pack(items, "doc_id", "tokens", classes, "container_class", "capacity_tokens")
+    assert packed.count() == 3 and packed.agg({"tokens": "sum"}).first()[0] == 10
+    assert garbled.find_garbled(frame, "doc_id", ("text", "word", "row")).count() == 0
