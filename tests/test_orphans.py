@@ -50,3 +50,11 @@ def test_empty_tables(spark):
     assert orphans(child.limit(0), "ref", parents, "id", gone).count() == 0
     report = orphan_report(orphans_of([Reference("c", "ref", "p", "id")], {"c": child, "p": parents}, gone))
     assert [tuple(r) for r in report.collect()] == [("c", "2022-01", "missing", 1)]
+
+
+def test_clashing_columns_nulls_and_repeats(spark):
+    child = spark.createDataFrame([(1, "A", START, "x", None, 5), (1, "A", START, "x", None, 5), (2, "b" * 100_000, START, None, "y", None), (3, "a", None, None, None, None)], "row_id bigint, ref string, loaded_at timestamp_ntz, key string, spans string, first_load int")
+    parents = spark.createDataFrame([("a", START, 1), (None, START, 1), ("a", None, 1)], "id string, loaded_at timestamp_ntz, seen int")
+    gone = spark.createDataFrame([("a", START), (None, START), ("a", None)], "key_value string, deleted_at timestamp_ntz")
+    got = sorted((r["row_id"], r["reason"]) for r in orphans(child, "ref", parents, "id", gone).collect())
+    assert got == [(1, "deleted"), (1, "deleted"), (2, "missing")]
