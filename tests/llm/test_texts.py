@@ -166,7 +166,8 @@ def test_truncated(spark):
 
 def test_clashing_columns_and_long_texts(spark):
     long = "The amber file was opened from the birch share at noon. " * 3000
-    frame = spark.createDataFrame([(1, long, "a", "b", 1, 2), (2, None, None, None, None, None)], "doc_id bigint, text string, word string, row string, k3 int, n int")
+    some = [(i, long[: 56 * 4].strip(), "a", "b", 1, 2) for i in range(10, 500)]  # a corpus: ends are judged against all texts
+    frame = spark.createDataFrame([(1, long, "a", "b", 1, 2), (2, None, None, None, None, None), *some], "doc_id bigint, text string, word string, row string, k3 int, n int")
     assert truncation.find_truncated(frame, "doc_id", "text").count() == 0
     items = spark.createDataFrame([(1, 5, "a", 1), (1, 5, "a", 1), (2, None, None, None)], "doc_id bigint, tokens bigint, cls string, g int")
     classes = spark.createDataFrame([("s", 10)], "container_class string, capacity_tokens int")
