@@ -174,3 +174,21 @@ def test_clashing_columns_and_long_texts(spark):
     packed = packing.pack(items, "doc_id", "tokens", classes, "container_class", "capacity_tokens")
     assert packed.count() == 3 and packed.agg({"tokens": "sum"}).first()[0] == 10
     assert garbled.find_garbled(frame, "doc_id", ("text", "word", "row")).count() == 0
+
+
+def _corpus(n, seed=5):
+    rng = random.Random(seed)
+    words = ["amber", "birch", "cedar", "delta", "ember", "fjord"]
+    patterns = ("The {0} file was opened from the {1} share at noon.", "Nobody found the {0} key below the {1} folder.", "Later the {0} disk was read by the {1} team.")
+    return [" ".join(rng.choice(patterns).format(rng.choice(words), rng.choice(words)) for _ in range(rng.randint(4, 9))) for _ in range(n)]
+
+
+def test_copies_of_a_cut_text(spark):
+    texts = _corpus(1000)
+    cut = texts[0][:60] + " Nobody found the cedar"
+    rows = [*enumerate(texts), *((i, cut) for i in range(2000, 2500))]
+    frame = spark.createDataFrame([(i, t, "s" if i < 2000 else "copies") for i, t in rows], "doc_id bigint, text string, source string")
+    found = truncation.find_truncated(frame, "doc_id", "text")
+    assert {r["doc_id"] for r in found.collect()} == set(range(2000, 2500))
+    report = {r["source"]: r for r in truncation.truncation_report(frame, found, "doc_id", "source", "text").collect()}
+    assert report["copies"]["cut"] == 500

@@ -3,8 +3,8 @@
 In plain SQL over all texts: words are brought to a form (numbers, names of files, hosts and paths, and hashes to classes), the trigrams,
 pairs and single words inside texts and those at ends are counted, and the final ones of each text are joined with the counts. A text is cut
 if its final trigram is frequent inside texts and almost never final, or if its last word almost never follows the words before it (a word
-broken in two). Counts are kept for 64-bit hashes, and only for those that a Bloom filter of the asked ones lets through, so the shuffle
-holds little more than what is asked for.
+broken in two). Counts are of distinct texts, so copies of a text are no witnesses of its end. They are kept for 64-bit hashes, and only for
+those that a Bloom filter of the asked ones lets through, so the shuffle holds little more than what is asked for.
 """
 
 from __future__ import annotations
@@ -27,6 +27,8 @@ CLOSING_SHARE = 0.25
 #: A last word that follows the two words before it (or the one before, if those two are rarer than ``KNOWN``) less often than this is broken.
 FOLLOW_SHARE = 0.005
 KNOWN = 200
+#: All words of a text with more words than this count together as so many, so that a few very long texts don't outvote the others.
+LONG = 500
 #: The last four words are looked for in so many last characters; if there are fewer than eight words, in the whole text.
 TAIL = 300
 
@@ -52,46 +54,56 @@ def tokens(text: Column) -> Column:
 
 
 def final_keys(frame: DataFrame, row: str, text: str) -> DataFrame:
-    """(row, word, mark, k3, k2, k1, p2, p1): whether the last word is a word or closes a sentence, the hashes of the last three, two and one words, and those of the two
+    """(row, h, i, word, mark, k3, k2, k1, p2, p1): two hashes of the text, whether the last word is a word or closes a sentence, the hashes of the last three, two and one words, and those of the two
     and the one before the last."""
     read = frame.filter(F.col(text).rlike(r"\S")).select(F.col(row).alias("row"), F.col(text).alias("text"))
+    read = read.select("row", "text", F.xxhash64("text").alias("h"), F.hash("text").alias("i"))
     tail = tokens(F.right(F.rtrim("text"), F.lit(TAIL)))
     # explode(array(x)) keeps the optimiser from evaluating x once for each use
-    read = read.select("row", "text", F.explode(F.array(tail)).alias("tail"))
-    read = read.select("row", F.explode(F.array(F.when(F.size("tail") >= 8, F.col("tail")).otherwise(tokens(F.col("text"))))).alias("tail"))
+    read = read.select("row", "h", "i", "text", F.explode(F.array(tail)).alias("tail"))
+    read = read.select("row", "h", "i", F.explode(F.array(F.when(F.size("tail") >= 8, F.col("tail")).otherwise(tokens(F.col("text"))))).alias("tail"))
     read = read.withColumn("w", F.concat(F.array(F.lit("^"), F.lit("^"), F.lit("^")), F.slice("tail", F.greatest(F.size("tail") - 3, F.lit(1)), F.lit(4))))
-    read = read.select("row", F.explode(F.array("w")).alias("w"))
+    read = read.select("row", "h", "i", F.explode(F.array("w")).alias("w"))
     a, b, c = (F.element_at("w", -i) for i in (3, 2, 1))
-    return read.select("row", c.rlike(r"^\p{L}").alias("word"), c.rlike(r"^(?:[.!?。\"”“»)\]]|\p{So})").alias("mark"), F.xxhash64(a, b, c).alias("k3"), F.xxhash64(b, c).alias("k2"), F.xxhash64(c).alias("k1"), F.xxhash64(a, b).alias("p2"), F.xxhash64(b).alias("p1"))
+    return read.select("row", "h", "i", c.rlike(r"^\p{L}").alias("word"), c.rlike(r"^(?:[.!?。\"”“»)\]]|\p{So})").alias("mark"), F.xxhash64(a, b, c).alias("k3"), F.xxhash64(b, c).alias("k2"), F.xxhash64(c).alias("k1"), F.xxhash64(a, b).alias("p2"), F.xxhash64(b).alias("p1"))
+
+
+def once(frame: DataFrame, text: str, ends: DataFrame) -> DataFrame:
+    """(text): each distinct non-blank text. Only texts whose hash a Bloom filter knows as a repeated one are shuffled, equal ones as one."""
+    again = bloom_filter(ends.groupBy("h").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1"), "h")
+    texts = frame.filter(F.col(text).rlike(r"\S")).select(F.col(text).alias("text"), might_contain(again, F.xxhash64(text)).alias("again"))
+    return texts.filter("not again").select("text").union(texts.filter("again").select("text").distinct())
 
 
 def all_keys(frame: DataFrame, text: str, wanted: DataFrame) -> DataFrame:
-    """(k): the hashes of each trigram, pair and word of every text that ``wanted`` (a Bloom filter) lets through."""
+    """(k, weight): the hashes of each trigram, pair and word of every text that ``wanted`` (a Bloom filter) lets through, and what each counts."""
     words = F.concat(F.array(F.lit("^"), F.lit("^"), F.lit("^")), tokens(F.col(text)), F.array(F.lit(""), F.lit("")))
     read = frame.filter(F.col(text).rlike(r"\S")).select(words.alias("w")).withColumn("n", F.size("w") - 2)
     parts = F.arrays_zip(F.slice("w", F.lit(1), F.col("n")).alias("a"), F.slice("w", F.lit(2), F.col("n")).alias("b"), F.slice("w", F.lit(3), F.col("n")).alias("c"))
-    each = read.select(F.inline(parts).alias("a", "b", "c"))
-    keys = each.select(F.explode(F.array(F.xxhash64("a", "b", "c"), F.xxhash64("a", "b"), F.xxhash64("a"))).alias("k"))
+    each = read.select(F.least(F.lit(1.0), LONG / F.col("n")).alias("weight"), F.inline(parts).alias("a", "b", "c"))
+    keys = each.select("weight", F.explode(F.array(F.xxhash64("a", "b", "c"), F.xxhash64("a", "b"), F.xxhash64("a"))).alias("k"))
     return keys.filter(might_contain(wanted, F.col("k")))
 
 
 def find_truncated(frame: DataFrame, row: str, text: str, final_share: float = FINAL_SHARE, follow_share: float = FOLLOW_SHARE) -> DataFrame:
     """(row, rule): the rows whose text breaks off; rule is ``inside`` (mid-sentence) or ``broken`` (mid-word).
 
-    Null, empty and blank texts are no cases, and an empty table has none. Every text counts in the statistics, repeated ones too.
+    Null, empty and blank texts are no cases, and an empty table has none. Every text counts once in the statistics, however many copies
+    it has; the verdict holds for all of them.
     Texts of fewer than three words are padded. Whole texts are counted. Ends are judged by the corpus: where an end is nothing but a
     sentence that all texts hold over eighty times for each time that they end with it, it counts as mid-text.
     """
     frame = spread(frame.select(row, text))
     ends = cut(final_keys(frame, row, text))
     wanted = bloom_filter(ends.select(F.explode(F.array(*_KEYS)).alias("k")), "k", max_bits=1 << 24)
-    counts = all_keys(frame, text, wanted).groupBy("k").agg(F.count(F.lit(1)).alias("n"))
-    final = ends.select(F.explode(F.array("k3", "k2", "k1")).alias("k")).groupBy("k").agg(F.count(F.lit(1)).alias("f"))
-    nearly = ends.groupBy(F.col("p2").alias("k")).agg(F.count(F.lit(1)).alias("c"))
+    counts = all_keys(once(frame, text, ends), "text", wanted).groupBy("k").agg(F.sum("weight").alias("n"))
+    shape = ("word", "mark", *_KEYS)
+    texts = ends.select("h", "i", *shape).distinct()
+    final = texts.select(F.explode(F.array("k3", "k2", "k1")).alias("k")).groupBy("k").agg(F.count(F.lit(1)).alias("f"))
+    nearly = texts.groupBy(F.col("p2").alias("k")).agg(F.count(F.lit(1)).alias("c"))
     zero = F.lit(0)
     table = counts.join(final, "k", "left").join(nearly, "k", "left").select("k", "n", F.coalesce("f", zero).alias("f"), F.coalesce("c", zero).alias("c"))
     # Equal ends are judged once, so a last word that a third of the texts share is one row here.
-    shape = ("word", "mark", *_KEYS)
     distinct = ends.select(*shape).distinct()
     long = distinct.select(F.struct(*shape).alias("key"), F.explode(F.array(*(F.struct(F.lit(name).alias("which"), F.col(name).alias("k")) for name in _KEYS))).alias("x"))
     joined = long.select("key", "x.which", "x.k").join(table, "k", "left")
