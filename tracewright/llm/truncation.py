@@ -22,11 +22,14 @@ FINAL_SHARE = 0.012
 MIXED = (10, 60)
 #: So many occurrences are left out of each count: a text is no witness of its own end, nor are a few copies of it.
 LEFT_OUT = (3, 1)
-#: Two words of which at least this share of the occurrences stand before the last word of a text belong to a closing line.
+#: Two words of which at least this share of the occurrences in other texts stand before the last word belong to a closing line, if so many
+#: other texts end with them.
 CLOSING_SHARE = 0.25
-#: A last word that follows the two words before it (or the one before, if those two are rarer than ``KNOWN``) less often than this is broken.
+CLOSING_TEXTS = 2
+#: A last word that follows the words before it less often than this is broken. The share is that after two words, mixed with one occurrence of
+#: the share after one, and that with one of whether the last word occurs elsewhere at all; in closing lines with the latter alone, once for each other end that they have. The text's
+#: own end is left out.
 FOLLOW_SHARE = 0.005
-KNOWN = 200
 #: All words of a text with more words than this count together as so many, so that a few very long texts don't outvote the others.
 LONG = 500
 #: The last four words are looked for in so many last characters; if there are fewer than eight words, in the whole text.
@@ -96,29 +99,34 @@ def find_truncated(frame: DataFrame, row: str, text: str, final_share: float = F
     frame = spread(frame.select(row, text))
     ends = cut(final_keys(frame, row, text))
     wanted = bloom_filter(ends.select(F.explode(F.array(*_KEYS)).alias("k")), "k", max_bits=1 << 24)
-    counts = all_keys(once(frame, text, ends), "text", wanted).groupBy("k").agg(F.sum("weight").alias("n"))
+    counts = all_keys(once(frame, text, ends), "text", wanted).groupBy("k").agg(F.sum("weight").alias("n"), F.count(F.lit(1)).alias("m"))
     shape = ("word", "mark", *_KEYS)
     texts = ends.select("h", "i", *shape).distinct()
     final = texts.select(F.explode(F.array("k3", "k2", "k1")).alias("k")).groupBy("k").agg(F.count(F.lit(1)).alias("f"))
-    nearly = texts.groupBy(F.col("p2").alias("k")).agg(F.count(F.lit(1)).alias("c"))
+    nearly = texts.groupBy(F.col("p2").alias("k"), "k3").agg(F.count(F.lit(1)).alias("c")).groupBy("k").agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("t"))
     zero = F.lit(0)
-    table = counts.join(final, "k", "left").join(nearly, "k", "left").select("k", "n", F.coalesce("f", zero).alias("f"), F.coalesce("c", zero).alias("c"))
+    table = counts.join(final, "k", "left").join(nearly, "k", "left").select("k", "n", "m", F.coalesce("f", zero).alias("f"), F.coalesce("c", zero).alias("c"), F.coalesce("t", zero).alias("t"))
     # Equal ends are judged once, so a last word that a third of the texts share is one row here.
     distinct = ends.select(*shape).distinct()
     long = distinct.select(F.struct(*shape).alias("key"), F.explode(F.array(*(F.struct(F.lit(name).alias("which"), F.col(name).alias("k")) for name in _KEYS))).alias("x"))
     joined = long.select("key", "x.which", "x.k").join(table, "k", "left")
-    wide = joined.groupBy("key").agg(*(F.coalesce(F.max(F.when(F.col("which") == name, F.col(c))), zero).alias(f"{c}_{name}") for name in _KEYS for c in "nfc"))
+    wide = joined.groupBy("key").agg(*(F.coalesce(F.max(F.when(F.col("which") == name, F.col(c))), zero).alias(f"{c}_{name}") for name in _KEYS for c in "nmfct"))
     word = F.col("key.word")
     out, mixed = (F.when(word, F.lit(x[0])).otherwise(F.lit(x[1])) for x in (LEFT_OUT, MIXED))
     less = lambda c: F.greatest(F.col(c) - out, zero)
     single = F.when(word, F.lit(0.0)).otherwise(less("f_k1") / (less("n_k1") + mixed))
     pair = (less("f_k2") + mixed * single) / (less("n_k2") + mixed)
     usual = (less("f_k3") + mixed * pair) / (less("n_k3") + mixed)
-    after_two, after_one = F.col("n_k3") / F.col("n_p2"), F.col("n_k2") / F.col("n_p1")
-    settled = (F.col("n_p2") >= KNOWN) | ((F.col("n_k3") > 2 * out) & (after_two >= 0.1))
-    follow = F.when(settled, after_two).when(F.col("n_p1") >= KNOWN, after_one).otherwise(F.lit(1.0))
-    closing = F.col("c_p2") / F.greatest(F.col("n_p2"), F.lit(1))
-    rule = F.when(~F.col("key.mark") & (follow < follow_share), "broken").when((usual < final_share) & (closing < CLOSING_SHARE), "inside")
+    other = lambda c: F.greatest(F.col(c) - 1, zero)
+    seen = F.when(word & (other("m_k1") == 0), F.lit(0.0)).otherwise(F.lit(1.0))
+    after_one = (other("m_k2") + seen) / (other("m_p1") + 1)
+    closing = (other("c_p2") >= CLOSING_TEXTS) & (other("c_p2") >= CLOSING_SHARE * other("n_p2"))
+    # where a closing line takes many words (a name, say), another one that is a word elsewhere is none too many
+    kinds = F.greatest(other("t_p2"), F.lit(1))
+    follow = F.when(closing, (other("m_k3") + kinds * seen) / (other("m_p2") + kinds)).otherwise((other("m_k3") + after_one) / (other("m_p2") + 1))
+    # numbers and marks after words that occur nowhere else are left alone: most are signatures
+    known = word | (other("m_p2") > 0)
+    rule = F.when(~F.col("key.mark") & (follow < follow_share), "broken").when((usual < final_share) & ~closing & known, "inside")
     judged = wide.select("key.*", rule.alias("rule")).filter("rule is not null")
     return ends.join(judged, list(shape)).select(F.col("row").alias(row), "rule")
 
