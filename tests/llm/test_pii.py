@@ -79,3 +79,13 @@ def test_count_names(spark):
     frame = spark.createDataFrame([("Ada Byron",), ("Byron, Ada",), ("A. Byron",), ("SYSTEM",), (None,), ("user12",)], "author string")
     names = pii.count_names(frame, "author")
     assert names.of("ada")[0] > 0 and names.of("byron")[1] > names.of("byron")[0] == 0 and names.of("user12") == (0, 0)
+
+
+def test_long_runs_of_numbers():
+    assert found("010-1234-5678 010-8765-4321") == [("phone", "010-1234-5678"), ("phone", "010-8765-4321")]
+    assert found("tel 1700000000 1700000001 010-1234-5678") == [("phone", "010-1234-5678")]
+    phones = [f"010-1{i:03}-5678" for i in range(50)]
+    assert found("call " + " ".join(phones) + " today") == [("phone", p) for p in phones]
+    assert found("call (212) 555-0182 (2) now") == [("phone", "(212) 555-0182")]
+    for text in ("1 (2)" + " (2)" * 50_000, "5 (2)" * 50_000 + " (2)" * 50_000, "1700000001 " * 50_000):  # in linear time
+        pii.spans_of(text)

@@ -42,8 +42,8 @@ HIDDEN_AT = re.compile(r" ?[(\[{] ?(?:at|AT|At) ?[)\]}] ?| (?:AT|at) (?=[\w\-]+(
 HIDDEN_LOCAL = re.compile(r"[^\W_][\w.+%\-]*$")
 HIDDEN_DOMAIN = re.compile(r"[^\W_][\w\-]*(?:(?:\.| ?[(\[{] ?(?:dot|DOT) ?[)\]}] ?| (?:dot|DOT) )[^\W_][\w\-]*)*(?:\.| ?[(\[{] ?(?:dot|DOT) ?[)\]}] ?| (?:dot|DOT) )[^\W\d_]{2,24}(?!\w)")
 
-#: Anything that may be a telephone or identity number: digits with single separators in between.
-NUMBER = re.compile(r"(?<![\w.,\-/#‑])(?<!\d:)(?:\+|\(|[A-Z]{1,3}[ \-]?(?=\d))?\d(?:[\d]|[ .\-‑\u00a0](?=[\d(])|[ .\-‑\u00a0]?\(\d{1,4}\)[ .\-‑\u00a0]?|\)[ .\-‑\u00a0]?(?=\d)){4,22}\d(?:[ \-]?[A-Za-z](?![\w]))?")
+#: Anything that may be telephone or identity numbers: a run of digits with single separators in between, however long. Nothing is tried twice.
+NUMBER = re.compile(r"(?<![\w.,\-/#‑])(?<!\d:)(?:\+|\(|[A-Z]{1,3}[ \-]?(?=\d))?\d(?:\d|[ .\-‑\u00a0](?=[\d(])|\(\d{1,4}\)[ .\-‑\u00a0]?|\)[ .\-‑\u00a0]?(?=\d))*+(?:(?<=\d)[ \-]?[A-Za-z](?![\w]))?")
 _S = r"[ .\-‑\u00a0]"
 #: (type, format, pattern of the whole number)
 NUMBER_FORMATS = tuple(
@@ -67,6 +67,8 @@ NUMBER_FORMATS = tuple(
 )
 #: Whether any of the formats occurs at all: one search instead of one for each.
 _ANY_NUMBER = re.compile("|".join(f"(?:{p.pattern})" for _, _, p in NUMBER_FORMATS))
+#: The formats as parts of a run.
+_PARTS = tuple(re.compile(rf"(?<![^\W_])(?<![\-.+])(?:{p.pattern})(?![^\W_]|[\-.])") for _, _, p in NUMBER_FORMATS)
 
 _STREET = r"(?:Street|St|Avenue|Ave|Lane|Ln|Road|Rd|Court|Ct|Drive|Dr|Boulevard|Blvd|Way|Close|Place|Square|Terrace|Crescent|Row|Hill)"
 _POST = r"\d{4,5}"
@@ -147,18 +149,20 @@ def spans_of(text: str) -> list[Span]:
 
 
 def _numbers(text: str, start: int, end: int) -> list[Span]:
-    """The formats that a run of digits and separators has; if it has none, those of its parts between blanks."""
+    """The formats that a run of digits and separators has; if it has none, those of its parts, overlapping ones too."""
+    while not text[end - 1].isalnum():  # blanks and digits in brackets are no end of a number
+        end = text.rindex("(", start, end) if text[end - 1] == ")" else end - 1
     part = text[start:end]
     if not _ANY_NUMBER.search(part):
         return []
     found = [Span(start, end, TYPES.index(kind), form) for form, (kind, _, pattern) in enumerate(NUMBER_FORMATS) if pattern.fullmatch(part)]
     if found:
         return found
-    for form, (kind, _, pattern) in enumerate(NUMBER_FORMATS):
-        for m in pattern.finditer(part):
-            before, after = part[m.start() - 1 : m.start()], part[m.end() : m.end() + 1]
-            if not before.isalnum() and not after.isalnum() and before not in ("-", ".", "+") and after not in ("-", "."):
-                found.append(Span(start + m.start(), start + m.end(), TYPES.index(kind), form))
+    for form, (kind, _, _) in enumerate(NUMBER_FORMATS):
+        m = _PARTS[form].search(part)
+        while m:
+            found.append(Span(start + m.start(), start + m.end(), TYPES.index(kind), form))
+            m = _PARTS[form].search(part, m.start() + 1)
     return found
 
 
