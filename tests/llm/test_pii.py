@@ -1,3 +1,5 @@
+import random
+
 import numpy as np
 import pytest
 
@@ -89,3 +91,24 @@ def test_long_runs_of_numbers():
     assert found("call (212) 555-0182 (2) now") == [("phone", "(212) 555-0182")]
     for text in ("1 (2)" + " (2)" * 50_000, "5 (2)" * 50_000 + " (2)" * 50_000, "1700000001 " * 50_000):  # in linear time
         pii.spans_of(text)
+
+
+@pytest.mark.parametrize("flat", ["Apt 3", "Apt. 3", "Flat 12b", "Unit 4", "Suite 9", "APT 3", "APT. 3", "FLAT 2", "UNIT 7"])
+@pytest.mark.parametrize("comma", ["", ","])
+def test_flats_pass_the_prefilter(flat, comma):
+    for street in ("Oak Street", "OAK STREET", "Oak Ave."):
+        address = f"12 {street}{comma} {flat}, Fooville 12345"
+        assert pii.ADDRESSES[0][1].fullmatch(address) and pii._ANY_ADDRESS.search(address)
+    assert any(s.kind == 3 and (s.start, s.end) == (11, 11 + len(address)) for s in pii.spans_of(f"deliver to {address}"))
+
+
+def test_prefilter_accepts_each_address():
+    rng = random.Random(6)
+    parts = ["12", "Oak", "Street", "Ave.", "Apt", "Suite 9", "Flat 3", ",", "Fooville", "12345", "P.O. Box 12", "PO BOX 7", "Lindenweg", "rue", "du", "Calle", "de", "가람시", "나무로", "32길", "78", "OR"]
+    for _ in range(20_000):
+        text = " ".join(rng.choice(parts) for _ in range(rng.randint(4, 9))).replace(" ,", ",")
+        assert pii._ANY_ADDRESS.search(text) or not any(p.search(text) for _, p in pii.ADDRESSES)
+
+
+def test_flat_without_comma():
+    assert found("drop the box at 12 Oak Street Apt 3, Fooville 12345, second door.") == [("address", "12 Oak Street Apt 3, Fooville 12345")]

@@ -83,7 +83,8 @@ ADDRESSES = tuple(
         ("korean", r"(?:[가-힣]{1,6}(?:특별시|광역시|도|시)[ \u00a0]+)(?:[가-힣]{1,6}[시군구][ \u00a0]+)?[가-힣0-9]{1,10}[로길](?:[ \u00a0]+\d+번?길)?[ \u00a0]+\d+(?:-\d+)?"),
     )
 )
-_ANY_ADDRESS = re.compile(rf",{_GAP}\d{{5}}{_GAP}[{_U}]|(?:{_STREET}|{_STREET.upper()})\b\.?,|[Bb][Oo][Xx]{_GAP}\d|[로길][ \u00a0]+\d")
+#: Whether any of them occurs at all; it has to accept whatever one of them matches.
+_ANY_ADDRESS = re.compile(rf",{_GAP}\d{{5}}{_GAP}[{_U}]|(?:{_STREET}|{_STREET.upper()})\b\.?(?:,|{_GAP}(?:Apt|Flat|Unit|Suite|APT|FLAT|UNIT))|[Bb][Oo][Xx]{_GAP}\d|[로길][ \u00a0]+\d")
 
 # Titles before a name.
 TITLES = (
