@@ -35,3 +35,10 @@ def test_tables(spark):
     assert {(r["node"], r["parent_node"], r["f_name"], r["f_size"]) for r in streams} == {("file_name[0].streams[0]", "file_name[0]", "s", 5)}
     assert {r["subtype"]: r["objects"] for r in variant_counts(nodes).collect()} == {"file_name": 2, "stream": 2, "other": 2}
     assert node_links(frame.limit(0), "attribute", ROOTS).count() == 0
+
+
+def test_deep_records():
+    for deep in (900, 3000):
+        text = '{"std_info": ' + '{"a": ' * deep + '{"b": 1}' + "}" * deep + "}"
+        nodes = nodes_of(text, ("std_info",))
+        assert len(nodes) == deep + 1 and nodes[-1][4] == deep and nodes[-1][1] == nodes[-2][0]

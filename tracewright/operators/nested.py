@@ -94,37 +94,68 @@ def nodes_of(text: str | None, roots: tuple[str, ...], rules: tuple[Rule, ...] =
     if isinstance(top, dict):
         for name in roots:
             if name in top:
-                _visit(unquote(top[name]), name, name, "", 0, 0, False, rules, out)
+                value = unquote(top[name])
+                if isinstance(value, (dict, list)):
+                    _visit(value, name, rules, out)
     return out
 
 
-def _visit(value, label: str, path: str, parent: str, depth: int, position: int, in_array: bool, rules, out: list[tuple]) -> str:
-    """Add the nodes at and below ``value``; returns its state."""
-    if isinstance(value, list):
-        states = {_visit(unquote(v), label, f"{path}[{i}]", parent, depth, i, True, rules, out) for i, v in enumerate(value)}
-        return "[" + ",".join(sorted(states)) + "]"
-    if not isinstance(value, dict):
-        return "scalar"
-    if not value:
-        return "empty"
-    node = path if in_array else f"{path}[0]"
-    at = len(out)
-    out.append(())
-    below, plain = [], {}
+def _visit(value, label: str, rules, out: list[tuple]) -> None:
+    """Add the nodes at and below ``value``, each before those below it. The stack is explicit, so no depth that can be read is too deep."""
+    stack = [_frame(value, label, label, "", 0, 0, False, out)]
+    while stack:
+        frame = stack[-1]
+        child = next(frame.children, None)
+        if child is not None:
+            key, v, *where = child
+            if isinstance(v, (dict, list)):
+                frame.pending = key
+                stack.append(_frame(v, *where, out))
+            elif frame.is_list:
+                frame.states.append("scalar")
+            continue
+        state = frame.close(rules, out)
+        stack.pop()
+        if stack:
+            above = stack[-1]
+            above.states.append(state if above.is_list else f"{above.pending}:{state}")
+
+
+class _Frame:
+    """An object or array that is being visited."""
+
+    __slots__ = ("at", "children", "depth", "is_list", "keys", "label", "node", "parent", "pending", "plain", "position", "states")
+
+    def close(self, rules, out: list[tuple]) -> str:
+        """The state, once all below is known; an object's node is written."""
+        if self.is_list:
+            return "[" + ",".join(sorted({*self.states})) + "]"
+        if not self.keys:
+            return "empty"
+        state = next((r.subtype for r in rules if self.label in r.labels and r.needs <= self.keys), "other")
+        variant = f"{state}({','.join(sorted(self.keys))})" + ("{" + ",".join(sorted(self.states)) + "}" if self.states else "")
+        out[self.at] = (self.node, self.parent, state, variant, self.depth, self.position, json.dumps(self.plain, ensure_ascii=False))
+        return state
+
+
+def _frame(value, label: str, path: str, parent: str, depth: int, position: int, in_array: bool, out: list[tuple]) -> _Frame:
+    f = _Frame()
+    f.is_list, f.states, f.label, f.parent, f.depth, f.position = isinstance(value, list), [], label, parent, depth, position
+    if f.is_list:
+        f.children = ((None, unquote(v), label, f"{path}[{i}]", parent, depth, i, True) for i, v in enumerate(value))
+        return f
+    f.keys, f.plain, f.node, f.at = value.keys(), {}, path if in_array else f"{path}[0]", len(out)
+    if value:
+        out.append(())
+    below = []
     for k, v in value.items():
         v = unquote(v)
         if isinstance(v, (dict, list)):
-            state = _visit(v, k, f"{node}.{k}", node, depth + 1, 0, False, rules, out)
-            below.append(f"{k}:{state}")
-            if isinstance(v, list) and v and not any(isinstance(x, (dict, list)) for x in v):
-                plain[k] = v
-        else:
-            plain[k] = v
-    keys = value.keys()
-    state = next((r.subtype for r in rules if label in r.labels and r.needs <= keys), "other")
-    variant = f"{state}({','.join(sorted(keys))})" + ("{" + ",".join(sorted(below)) + "}" if below else "")
-    out[at] = (node, parent, state, variant, depth, position, json.dumps(plain, ensure_ascii=False))
-    return state
+            below.append((k, v, k, f"{f.node}.{k}", f.node, depth + 1, 0, False))
+        if not isinstance(v, dict) and not (isinstance(v, list) and (not v or any(isinstance(x, (dict, list)) for x in v))):
+            f.plain[k] = v
+    f.children = iter(below)
+    return f
 
 
 def explode_nested(frame: DataFrame, column: str, roots: tuple[str, ...], row: str = "row_id", rules: tuple[Rule, ...] = JOURNAL_RULES) -> DataFrame:
