@@ -199,3 +199,9 @@ def test_rare_ends(spark):
     rows += [(2000 + i, f"{t}\n\nUnit {i} / Lab {w}") for i, (t, w) in enumerate(zip(_corpus(6, 7), ("amber", "birch", "cedar", "delta", "ember", "fjord"), strict=True))]
     frame = spark.createDataFrame(rows, "doc_id bigint, text string")
     assert {r["doc_id"]: r["rule"] for r in truncation.find_truncated(frame, "doc_id", "text").collect()} == {1000: "broken", 1001: "inside"}
+
+
+def test_long_path_at_the_end(spark):
+    text = _corpus(1)[0] + " Saved in folder /share/"
+    frame = spark.createDataFrame([(1, text + "amber-birch/cedar"), (2, text + "amber-birch/" * 40 + "cedar")], "doc_id bigint, text string")
+    assert truncation.final_keys(frame, "doc_id", "text").select("k3", "k2", "k1", "p2", "p1").distinct().count() == 1

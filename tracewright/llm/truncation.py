@@ -32,7 +32,8 @@ CLOSING_TEXTS = 2
 FOLLOW_SHARE = 0.005
 #: All words of a text with more words than this count together as so many, so that a few very long texts don't outvote the others.
 LONG = 500
-#: The last four words are looked for in so many last characters; if there are fewer than eight words, in the whole text.
+#: The last four words are looked for in so many last characters and what stands before them up to white space, as classes of words depend on
+#: what is to the left; if there are fewer than eight words, in the whole text.
 TAIL = 300
 
 # Classes of words, applied in this order to the lower-cased text.
@@ -61,7 +62,9 @@ def final_keys(frame: DataFrame, row: str, text: str) -> DataFrame:
     and the one before the last."""
     read = frame.filter(F.col(text).rlike(r"\S")).select(F.col(row).alias("row"), F.col(text).alias("text"))
     read = read.select("row", "text", F.xxhash64("text").alias("h"), F.hash("text").alias("i"))
-    tail = tokens(F.right(F.rtrim("text"), F.lit(TAIL)))
+    trimmed = F.rtrim("text")
+    before = F.reverse(F.left(trimmed, F.greatest(F.length(trimmed) - TAIL, F.lit(0))))
+    tail = tokens(F.right(trimmed, TAIL + F.length(F.regexp_extract(before, r"^\S*+", 0))))
     # explode(array(x)) keeps the optimiser from evaluating x once for each use
     read = read.select("row", "h", "i", "text", F.explode(F.array(tail)).alias("tail"))
     read = read.select("row", "h", "i", F.explode(F.array(F.when(F.size("tail") >= 8, F.col("tail")).otherwise(tokens(F.col("text"))))).alias("tail"))
