@@ -3,7 +3,9 @@
 Round-trip repair: a text is encoded again in the encoding that it may have been read with by mistake and decoded strictly in the one that
 was meant. Layers are taken off one after the other. A repair is accepted if the garbling cost drops: the cost counts what doesn't occur in
 words as people write them (symbols inside words, scripts that change within a word, capitals after small letters, control characters).
-Words are judged one by one, so a garbled part of a clean text is found; if one repair fits the whole field, the whole field is repaired.
+Words are judged one by one, so a garbled part of a clean text is found and its clean words are left as they are; where a word has several
+repairs, the one that fits most words of the field counts. One repair of the whole field is taken only if its cost is lower still and it
+changes no word without cost.
 One Arrow pass over each field, no shuffle; the cost of a word is remembered within a batch.
 """
 
@@ -30,6 +32,11 @@ LAYERS = 3
 _TOKEN = re.compile(r"[^ \t\r\n\f\v]*[^\x00-\x7f \t\r\n\f\v][^ \t\r\n\f\v]*")
 _EDGES = set("“”„‚‘’«»‹›–—…¿¡•·")
 _LETTER_LIKE = set("ªº²³¹¼½¾")
+#: Accented letters that are frequent in Western languages; of repairs that are as good otherwise, the one with fewer others counts.
+_USUAL = set("äöüßéèêëàâçîïôûñáíóúÄÖÜÉ")
+#: Letters beyond Latin-1 that Western texts hold.
+_WESTERN = set("ŒœŠšŽžŸƒ€")
+_HIGH_RUN = re.compile(r"[^\x00-\x7f]{4,}")
 
 
 def encode(text: str, encoding: str) -> bytes:
@@ -77,7 +84,7 @@ def cost(word: str) -> int:
                     total += 2
             if ord(after) < 0x80 and after.isalpha() and kind != "latin":
                 total += 2
-            if kind == "latin" and after.islower() and after.isascii() and c.isupper() and before.isalpha() and before.islower():
+            if kind == "latin" and after.islower() and after.isascii() and c.isupper() and before.isalpha():
                 total += 1
             if n == 1 and c in "ñÃÂÐÑ":
                 total += 2
@@ -104,6 +111,29 @@ def cost(word: str) -> int:
                 total += 1 if not touches and (ord(before) > 0x7F or ord(after) > 0x7F) else 0
         if c in "ﬂﬁ":
             total += 2
+    return total + _disguised(word)
+
+
+def _disguised(word: str) -> int:
+    """The number of characters that a word of plain letters and marks hides: those of valid UTF-8 that Western texts hold, and Korean or Russian letters in runs."""
+    for wrong in ("cp1252", "mac_roman"):
+        try:
+            read = encode(word, wrong).decode("utf-8")
+        except (UnicodeEncodeError, UnicodeDecodeError):
+            continue
+        high = [c for c in read if ord(c) > 0x7F]
+        if all(0xA0 <= ord(c) < 0x100 or c in _WESTERN or 0x2010 <= ord(c) < 0x203B for c in high):
+            return len(high)
+    total = 0
+    for m in _HIGH_RUN.finditer(word):
+        for meant, script in (("cp949", "hangul"), ("cp1251", "cyrillic")):
+            try:
+                read = encode(m.group(), "cp1252").decode(meant)
+            except (UnicodeEncodeError, UnicodeDecodeError):
+                continue
+            if all(_script(c) == script for c in read) and (read[1:].islower() or script == "hangul" or read.isupper()):
+                total += len(read)
+                break
     return total
 
 
@@ -115,22 +145,26 @@ def _round_trips(text: str, pairs) -> Iterator[tuple[str, str]]:
             continue
 
 
-def repair_word(word: str) -> tuple[str, int, int, str]:
-    """(best reading, cost before, cost after, encodings taken off) of one word."""
+def repair_word(word: str) -> tuple[int, int, dict[str, str]]:
+    """(cost before, cost after, readings) of one word. readings has, by the encodings taken off, the best reading first; there are several if legacy
+    encodings give equally good ones."""
     first = now = cost(word)
     done: list[str] = []
+    readings = {"": word}
     for _ in range(LAYERS):
         if now == 0:
             break
         best = min(((cost(t), k, t, name) for k, (t, name) in enumerate(_round_trips(word, STRONG)) if t != word), default=None)
-        if best is None or best[0] >= now:
-            weak = min(((cost(t), k, t, name) for k, (t, name) in enumerate(_round_trips(word, WEAK)) if t != word), default=None)
-            best = weak if weak and weak[0] == 0 and not any(ord(c) < 0x20 for c in weak[2]) else None
-        if best is None or best[0] >= now:
-            break
-        now, _, word, name = best
-        done.append(name)
-    return word, first, now, "+".join(done)
+        if best is not None and best[0] < now:
+            now, _, word, name = best
+            done.append(name)
+            readings = {"+".join(done): word}
+            continue
+        weak = [(sum(ord(c) > 0x7F and c.isalpha() and c not in _USUAL and _script(c) == "latin" for c in t), k, t, name) for k, (t, name) in enumerate(_round_trips(word, WEAK)) if t != word and cost(t) == 0 and not any(ord(c) < 0x20 for c in t)]
+        if weak:
+            now = 0
+            readings = {"+".join([*done, name]): t for _, _, t, name in sorted(weak)}
+    return first, now, readings
 
 
 def _lost(word: str) -> bool:
@@ -151,39 +185,58 @@ def _lost(word: str) -> bool:
     return sum({a, b} == {"han", "hangul"} for a, b in zip(kinds, kinds[1:], strict=False)) >= 2
 
 
+def _through(text: str, chain: str) -> str | None:
+    """``text`` after all round trips of ``chain``; null if one fails."""
+    try:
+        for step in chain.split("+"):
+            wrong, meant = step.split(">")
+            text = encode(text, wrong).decode(meant)
+    except (UnicodeEncodeError, UnicodeDecodeError):
+        return None
+    return text
+
+
+def _total(text: str) -> int:
+    return sum(cost(m.group()) for m in _TOKEN.finditer(text))
+
+
 def examine(text: str | None, seen: dict | None = None) -> tuple[bool, str | None, str]:
-    """(garbled, restored text or null if it can't be restored, encodings). Clean, null and empty texts come out as (False, text, '')."""
+    """(garbled, restored text or null if it can't be restored, encodings). Clean, null and empty texts come out as (False, text, '').
+
+    Words without garbling cost stay as they are, whatever is repaired beside them.
+    """
     if not text or text.isascii():
         return False, text, ""
     seen = {} if seen is None else seen
-    names: dict[str, int] = {}
+    votes: dict[str, int] = {}
     left = 0
     for m in _TOKEN.finditer(text):
         w = m.group()
         r = seen.get(w)
         if r is None:
-            fixed, before, after, name = repair_word(w)
-            r = seen[w] = (fixed, name, before > after, _lost(fixed))
-        if r[2]:
-            names[r[1]] = names.get(r[1], 0) + 1
-        left += r[3]
-    if not names and not left:
-        return False, text, ""
-    if names:
-        chain = max(names, key=lambda k: (names[k], k))
-        whole: str | None = text
-        try:
-            for step in chain.split("+"):
-                wrong, meant = step.split(">")
-                whole = encode(whole, wrong).decode(meant)
-        except (UnicodeEncodeError, UnicodeDecodeError):
-            whole = None
-        if whole is None:
-            whole = _TOKEN.sub(lambda m: seen[m.group()][0], text)
-        if not left:
-            return True, whole, chain
+            before, after, readings = repair_word(w)
+            r = seen[w] = (before > after, readings, _lost(next(iter(readings.values()))), before == 0)
+        if r[0]:
+            for name in r[1]:
+                votes[name] = votes.get(name, 0) + 1
+        left += r[2]
+    if not votes:
+        return left > 0, None if left else text, ""
+    chain = max(votes, key=votes.__getitem__)
+    if left:
         return True, None, chain
-    return True, None, ""
+
+    def reading(m: re.Match) -> str:
+        readings = seen[m.group()][1]
+        return readings[max(readings, key=votes.__getitem__)] if seen[m.group()][0] else m.group()
+
+    joined = _TOKEN.sub(reading, text)
+    whole = _through(text, chain)
+    if whole is not None and whole != joined and _total(whole) < _total(joined):
+        old, new = re.split(r"[ \t\r\n\f\v]+", text), re.split(r"[ \t\r\n\f\v]+", whole)
+        if len(old) == len(new) and all(a == b or (a in seen and not seen[a][3]) for a, b in zip(old, new, strict=True)):
+            return True, whole, chain
+    return True, joined, chain
 
 
 def find_garbled(frame: DataFrame, row: str, fields: tuple[str, ...]) -> DataFrame:
