@@ -71,15 +71,28 @@ def test_ids_of_the_public_tokenizer(text, public):
     assert ENCODER.encode(text) == public.encode(text, add_special_tokens=False).ids
 
 
-def test_queue_and_short_way_agree():
+def plain_merge(raw: bytes) -> list[int]:
+    """Brute force: look through all pairs for the lowest rank, again and again."""
+    part = [raw[i : i + 1] for i in range(len(raw))]
+    while True:
+        ranked = [(ENCODER.ranks[a + b], i) for i, (a, b) in enumerate(zip(part, part[1:], strict=False)) if a + b in ENCODER.ranks]
+        if not ranked:
+            return [ENCODER.ranks[p] for p in part]
+        i = min(ranked)[1]
+        part[i : i + 2] = [part[i] + part[i + 1]]
+
+
+def test_queue_against_brute_force():
     rng = random.Random(2)
-    for _ in range(300):
-        raw = bytes(rng.choice(b"theing aer") for _ in range(rng.randint(2, 12)))
-        long, tokens.SHORT = ENCODER.merge(raw), 0
-        try:
-            assert ENCODER.merge(raw) == long
-        finally:
-            tokens.SHORT = 12
+    raws = [bytes(rng.choice(b"theing aer=\xc3\xa9") for _ in range(rng.randint(1, 40))) for _ in range(400)]
+    want = [[ENCODER.ranks[r]] if r in ENCODER.ranks else plain_merge(r) for r in raws]
+    assert [ENCODER.merge(r) for r in raws] == want
+    assert ENCODER.merge_all(raws) == want
+
+
+def test_texts_together_and_alone(public):
+    texts = ["", None, "one two", "x" * 900_000, " the quick onequick", "=" * 3000, "two one"]
+    assert ENCODER.encode_all(texts) == [ENCODER.encode(t) if t else [] for t in texts]
 
 
 def test_rank_queue():
