@@ -1,6 +1,9 @@
 import json
 
-from tracewright.operators.nested import explode_nested, node_links, nodes_of, subtype_table, variant_counts
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from tracewright.operators.nested import explode_nested, node_links, nodes_of, read_deep, read_json, subtype_table, variant_counts
 
 ROOTS = ("std_info", "file_name")
 
@@ -42,3 +45,34 @@ def test_deep_records():
         text = '{"std_info": ' + '{"a": ' * deep + '{"b": 1}' + "}" * deep + "}"
         nodes = nodes_of(text, ("std_info",))
         assert len(nodes) == deep + 1 and nodes[-1][4] == deep and nodes[-1][1] == nodes[-2][0]
+
+
+def test_any_depth():
+    for deep in (5_000, 20_000, 100_000):
+        arrays = '{"std_info": ' + "[" * deep + '{"b": 1}' + "]" * deep + "}"
+        assert [(n[0], n[1]) for n in nodes_of(arrays, ("std_info",))] == [("std_info" + "[0]" * deep, "")]
+        objects = '{"deep": ' + '{"a": ' * deep + "1" + "}" * deep + ', "std_info": {"b": 1}}'
+        assert [(n[0], n[1]) for n in nodes_of(objects, ("std_info",))] == [("std_info[0]", "")]
+        assert nodes_of(objects[:-2], ("std_info",)) == []
+    mixed = '{"std_info": ' + '{"a": [' * 3_000 + '{"b": 1}' + "]}" * 3_000 + "}"
+    nodes = nodes_of(mixed, ("std_info",))
+    assert len(nodes) == 3_001 and all(b[1] == a[0] for a, b in zip(nodes, nodes[1:], strict=False))
+
+
+def outcome(read, text):
+    try:
+        return read(text)
+    except ValueError:
+        return "broken"
+
+
+VALUES = st.recursive(st.none() | st.booleans() | st.integers() | st.floats(allow_nan=False, allow_infinity=False) | st.text(max_size=5), lambda v: st.lists(v, max_size=3) | st.dictionaries(st.text(max_size=3), v, max_size=3), max_leaves=12)
+
+
+@settings(max_examples=300, deadline=None)
+@given(VALUES, st.integers(0, 60), st.sampled_from(["", ",", "}", "]", '"', "{", "[", " ", "\\", "1", "e", "NaN", "\n"]))
+def test_the_deep_reader_agrees_with_the_standard_one(value, place, extra):
+    text = json.dumps(value, indent=place % 3 or None)
+    assert read_deep(text) == read_json(text) == value
+    cut = text[:place] + extra + text[place + place % 2 :]
+    assert repr(outcome(read_deep, cut)) == repr(outcome(read_json, cut))

@@ -12,6 +12,7 @@ import json
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from json.decoder import scanstring
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -56,12 +57,85 @@ def _no_constant(name: str):
     raise ValueError(f"{name} is not JSON")
 
 
+_SPACE = re.compile(r"[ \t\n\r]*")
+_NUMBER = re.compile(r"-?(?:0|[1-9]\d*)(?:\.\d+)?(?:[eE][+-]?\d+)?")
+_LITERALS = {"true": True, "false": False, "null": None}
+
+
+def _scalar(text: str, at: int):
+    """(value, end) of the string, number or literal at ``at``."""
+    if text[at : at + 1] == '"':
+        return scanstring(text, at + 1, True)
+    for word, value in _LITERALS.items():
+        if text.startswith(word, at):
+            return value, at + len(word)
+    m = _NUMBER.match(text, at)
+    if not m:
+        raise ValueError(f"no value at {at}")
+    return (int(m.group()) if m.group().lstrip("-").isdigit() else float(m.group())), m.end()
+
+
+def read_deep(text: str):
+    """What the standard reader gives, for nesting of any depth: open objects and arrays wait on a stack of its own."""
+    skip = lambda i: _SPACE.match(text, i).end()
+    top: list = []
+    open_: list = [top]
+    keys: list[str] = []
+    at = skip(0)
+    while True:
+        mark = text[at : at + 1]
+        if mark in ("{", "["):
+            inner: dict | list = {} if mark == "{" else []
+            at = skip(at + 1)
+            if text[at : at + 1] == ("}" if mark == "{" else "]"):
+                value, at = inner, skip(at + 1)
+            else:
+                open_.append(inner)
+                if mark == "{":
+                    at = _key(text, at, keys, skip)
+                continue
+        else:
+            value, at = _scalar(text, at)
+            at = skip(at)
+        while True:  # put the value where it belongs; a closed container is the next value
+            above = open_[-1]
+            if isinstance(above, dict):
+                above[keys.pop()] = value
+            else:
+                above.append(value)
+            if above is top:
+                if at != len(text):
+                    raise ValueError(f"extra data at {at}")
+                return top[0]
+            mark = text[at : at + 1]
+            if mark == ",":
+                at = skip(at + 1)
+                if isinstance(above, dict):
+                    at = _key(text, at, keys, skip)
+                break
+            if mark != ("}" if isinstance(above, dict) else "]"):
+                raise ValueError(f"no end at {at}")
+            value, at = open_.pop(), skip(at + 1)
+
+
+def _key(text: str, at: int, keys: list[str], skip) -> int:
+    """Read a field's name and the colon behind it; the place of its value."""
+    if text[at : at + 1] != '"':
+        raise ValueError(f"no name at {at}")
+    key, at = scanstring(text, at + 1, True)
+    at = skip(at)
+    if text[at : at + 1] != ":":
+        raise ValueError(f"no colon at {at}")
+    keys.append(key)
+    return skip(at + 1)
+
+
 def read_json(text: str):
-    """Strict JSON; raises ValueError otherwise (also for NaN and for nesting too deep to read)."""
+    """Strict JSON of any depth; raises ValueError otherwise (also for NaN)."""
     try:
         return json.loads(text, parse_constant=_no_constant)
-    except RecursionError as e:
-        raise ValueError("nested too deeply") from e
+    except RecursionError:
+        return read_deep(text)
 
 
 _JSON_TEXT = re.compile(r"\s*[\[{\"]")
@@ -101,35 +175,67 @@ def nodes_of(text: str | None, roots: tuple[str, ...], rules: tuple[Rule, ...] =
 
 
 def _visit(value, label: str, rules, out: list[tuple]) -> None:
-    """Add the nodes at and below ``value``, each before those below it. The stack is explicit, so no depth that can be read is too deep."""
-    stack = [_frame(value, label, label, "", 0, 0, False, out)]
+    """Add the nodes at and below ``value``, each before those below it. The stack is explicit and paths are put together for objects only, so any
+    depth can be walked."""
+    stack = [_Frame(value, label, "", "", 0, 0, out)]
     while stack:
         frame = stack[-1]
         child = next(frame.children, None)
         if child is not None:
-            key, v, *where = child
+            key, v, index = child
             if isinstance(v, (dict, list)):
                 frame.pending = key
-                stack.append(_frame(v, *where, out))
+                if frame.is_list:
+                    stack.append(_Frame(v, label if key is None else key, frame.node, frame.parent, frame.depth, index, out, (frame.steps, index)))
+                else:
+                    stack.append(_Frame(v, key, f"{frame.node}.{key}", frame.node, frame.depth + 1, 0, out))
             elif frame.is_list:
-                frame.states.append("scalar")
+                frame.states.add("scalar")
             continue
         state = frame.close(rules, out)
         stack.pop()
         if stack:
             above = stack[-1]
-            above.states.append(state if above.is_list else f"{above.pending}:{state}")
+            if not above.is_list:
+                above.states.add(f"{above.pending}:{state}")
+            elif frame.is_list:  # arrays in arrays have the states of their elements
+                above.states |= frame.states
+            else:
+                above.states.add(state)
 
 
 class _Frame:
-    """An object or array that is being visited."""
+    """An object or array that is being visited. ``steps`` are the positions in the arrays around it, innermost first, as linked pairs."""
 
-    __slots__ = ("at", "children", "depth", "is_list", "keys", "label", "node", "parent", "pending", "plain", "position", "states")
+    __slots__ = ("at", "children", "depth", "is_list", "keys", "label", "node", "parent", "pending", "plain", "position", "states", "steps")
+
+    def __init__(self, value, label: str, path: str, parent: str, depth: int, position: int, out: list[tuple], steps=None) -> None:
+        self.is_list, self.states, self.label, self.parent, self.depth, self.position, self.steps = isinstance(value, list), set(), label, parent, depth, position, steps
+        self.node = path or label
+        if self.is_list:
+            self.children = ((label, unquote(v), i) for i, v in enumerate(value))
+            return
+        self.keys, self.plain, self.at = value.keys(), {}, len(out)
+        if value:
+            out.append(())
+        places = []
+        while steps is not None:
+            steps, index = steps
+            places.append(f"[{index}]")
+        self.node += "".join(reversed(places)) or "[0]"
+        below = []
+        for k, v in value.items():
+            v = unquote(v)
+            if isinstance(v, (dict, list)):
+                below.append((k, v, 0))
+            if not isinstance(v, dict) and not (isinstance(v, list) and (not v or any(isinstance(x, (dict, list)) for x in v))):
+                self.plain[k] = v
+        self.children = iter(below)
 
     def close(self, rules, out: list[tuple]) -> str:
         """The state, once all below is known; an object's node is written."""
         if self.is_list:
-            return "[" + ",".join(sorted({*self.states})) + "]"
+            return "[" + ",".join(sorted(self.states)) + "]"
         if not self.keys:
             return "empty"
         state = next((r.subtype for r in rules if self.label in r.labels and r.needs <= self.keys), "other")
@@ -138,26 +244,6 @@ class _Frame:
         return state
 
 
-def _frame(value, label: str, path: str, parent: str, depth: int, position: int, in_array: bool, out: list[tuple]) -> _Frame:
-    f = _Frame()
-    f.is_list, f.states, f.label, f.parent, f.depth, f.position = isinstance(value, list), [], label, parent, depth, position
-    if f.is_list:
-        f.children = ((None, unquote(v), label, f"{path}[{i}]", parent, depth, i, True) for i, v in enumerate(value))
-        return f
-    f.keys, f.plain, f.node, f.at = value.keys(), {}, path if in_array else f"{path}[0]", len(out)
-    if value:
-        out.append(())
-    below = []
-    for k, v in value.items():
-        v = unquote(v)
-        if isinstance(v, (dict, list)):
-            below.append((k, v, k, f"{f.node}.{k}", f.node, depth + 1, 0, False))
-        if not isinstance(v, dict) and not (isinstance(v, list) and (not v or any(isinstance(x, (dict, list)) for x in v))):
-            f.plain[k] = v
-    f.children = iter(below)
-    return f
-
-
 def explode_nested(frame: DataFrame, column: str, roots: tuple[str, ...], row: str = "row_id", rules: tuple[Rule, ...] = JOURNAL_RULES) -> DataFrame:
     """(row, NODE_SCHEMA): each object with at least one field under ``roots``, at any depth, of each record of ``frame``.
 
