@@ -22,7 +22,7 @@ def us(*parts):
 CASES = [
     ("e1", "2022-07-25T18:21:06.1342784Z", us(2022, 7, 25, 18, 21, 6) + 134278, "ok"),
     ("e1", "2022-07-25 18:21:06", us(2022, 7, 25, 16, 21, 6), "ok"),
-    ("e1", "2022-03-27 02:30:00", None, "ambiguous"),
+    ("e1", "2022-03-27 02:30:00", None, "nonexistent"),
     ("e1", "2022-10-30 02:30:00", None, "ambiguous"),
     ("e1", "2022-10-30T02:30:00+01:00[Europe/Berlin]", us(2022, 10, 30, 1, 30), "ok"),
     ("e2", "2022-01-01 00:00", us(2022, 1, 1, 8), "ok"),

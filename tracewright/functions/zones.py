@@ -104,8 +104,8 @@ def fixed_offset(zone_key: Column) -> Column:
     return F.when(zone_key.rlike(OFFSET) & (hours.try_cast("int") <= 14), found)
 
 
-def instants(local_us: Column, zone: Column) -> Column:
-    """Microseconds UTC of a local time in a zone if it occurs there exactly once, else null.
+def resolved(local_us: Column, zone: Column) -> Column:
+    """(us, shown) of a local time in a zone: microseconds UTC if it occurs there exactly once, and how often it occurs (0, 1 or 2).
 
     The zone's offsets a day before and a day after are the two that can hold. Each gives a candidate; a candidate counts if it
     is shown as the local time in question. None does in a gap, two different ones do in an overlap.
@@ -117,4 +117,6 @@ def instants(local_us: Column, zone: Column) -> Column:
 
     before, after = local_us - (shown(local_us - day) - (local_us - day)), local_us - (shown(local_us + day) - (local_us + day))
     at_before, at_after = shown(before) == local_us, shown(after) == local_us
-    return F.when(before == after, before).when(at_before & at_after, F.lit(None)).when(at_before, before).when(at_after, after)
+    times = F.when(before == after, 1).otherwise(at_before.cast("int") + at_after.cast("int"))
+    us = F.when(before == after, before).when(at_before & at_after, F.lit(None)).when(at_before, before).when(at_after, after)
+    return F.when(local_us.isNotNull() & zone.isNotNull(), F.struct(us.alias("us"), times.alias("shown")))

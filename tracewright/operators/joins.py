@@ -7,12 +7,12 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracewright.session import BROADCAST_ROWS
+from tracewright.session import BROADCAST_ROWS, fits
 
 
 def sized(frame: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``frame`` marked for broadcast if it was counted to have at most ``rows`` rows, else as it is."""
-    return F.broadcast(frame) if frame.count() <= rows else frame
+    """``frame`` marked for broadcast if it was measured to be small, else as it is."""
+    return F.broadcast(frame) if fits(frame, rows) else frame
 
 
 def with_default(left: DataFrame, right: DataFrame, on: str, columns: dict[str, Column]) -> DataFrame:

@@ -44,7 +44,7 @@ def presence(parents: DataFrame, key: str, deletions: DataFrame, loaded: str = "
     loads = parents.select(same_key(F.col(key)).alias("key"), F.col(loaded).alias("at")).filter("key is not null and at is not null")
     gone = deletions.select(same_key(F.col("key_value")).alias("key"), F.col("deleted_at").alias("gone_at")).filter("key is not null and gone_at is not null")
     gone = gone.groupBy("key").agg(F.sort_array(F.collect_set("gone_at")).alias("gone"))
-    # first loading of each (key, second) is taken before the join, so that hot keys are small there
+    # repeated loadings at one time are reduced before the join, so that hot keys are small there
     ended = loads.groupBy("key", "at").agg(F.lit(1).alias("one")).join(gone, "key", "left")
     ended = ended.withColumn("until", F.array_min(F.filter("gone", lambda d: d >= F.col("at"))))
     spans = ended.groupBy("key", "until").agg(F.min("at").alias("since"))
@@ -60,8 +60,10 @@ def orphans(child: DataFrame, column: str, parents: DataFrame, key: str, deletio
     """
     refs = child.select(F.col(row).alias("row"), same_key(F.col(column)).alias("key"), F.col(loaded).alias("seen")).filter("key is not null")
     refs = refs.withColumn("period", F.date_format("seen", "yyyy-MM"))
-    known = bloom_filter(parents.select(same_key(F.col(key)).alias("key")), "key", max_bits)
-    # A reference that the filter rejects is proven to be an orphan: it goes on without a key, so it takes no part in the join.
+    keys = parents.select(same_key(F.col(key)).alias("key"))
+    known = bloom_filter(keys, "key", max_bits, items=keys.agg(F.approx_count_distinct("key")).first()[0])
+    # A reference that the filter rejects is proven to be an orphan: it goes on without a key, so it takes no part in the join (and is spread
+    # evenly if the join shuffles).
     refs = refs.withColumn("key", F.when(might_contain(known, F.col("key")), F.col("key")))
     checked = lookup(refs, presence(parents, key, deletions), "key", "row", rows=broadcast_rows)
     there = F.exists("spans", lambda s: (s["since"] <= F.col("seen")) & (s["until"].isNull() | (s["until"] > F.col("seen"))))

@@ -3,7 +3,8 @@
 An ordered cascade of anchored patterns rewrites each value to one canonical record, ``year|month|day|hour|minute|second|fraction|
 half|zone``; the first pattern that matches decides, and nothing is read that doesn't match one from end to end. Calendar fields are then
 checked strictly. Counts carry their own epoch and unit. The zone comes from the value, else from the evidence. Local times that
-their zone shows twice or never give no instant: ``status`` says so. All of it is built-in expressions in one scan.
+their zone shows twice (clocks set back) or never (clocks set forward) give no instant: ``status`` says which. All of it is built-in
+expressions in one scan.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracewright.functions.zones import clean_zone, fixed_offset, instants, zone_names
+from tracewright.functions.zones import clean_zone, fixed_offset, resolved, zone_names
 from tracewright.session import BROADCAST_ROWS, lookup, spread
 
 SECOND = 1_000_000
@@ -104,18 +105,19 @@ def local_micros(part: Column) -> Column:
     return (days * 86_400 + hour * 3_600 + minute * 60 + second) * SECOND + fraction
 
 
-def normalise_timestamps(frame: DataFrame, evidence: DataFrame, value: str = "timestamp", key: str = "evd_id", row: str = "row_id", broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """(row, utc_us, status) of every row of ``frame``.
+def normalise_timestamps(frame: DataFrame, evidence: DataFrame, value: str = "timestamp", key: str = "evd_id", row: str = "row_id", broadcast_rows: int = BROADCAST_ROWS, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(keep, row, utc_us, status) of every row of ``frame``.
 
     ``evidence`` has ``key`` and ``timezone``; a key is matched as it is spelt, and of several rows of a key the greatest zone text counts.
     status: ``ok``; ``empty`` (null, blank, zero or an epoch's midnight); ``unreadable`` (no pattern, or no such date); ``no_zone``;
-    ``ambiguous`` (the zone shows the local time twice); ``nonexistent`` is reported as ``ambiguous`` too, since neither denotes one instant.
-    Null keys, repeated rows and an empty table are fine; other columns of ``frame`` aren't read, so none can clash.
+    ``ambiguous`` (the zone shows the local time twice); ``nonexistent`` (it skips it). Null keys, repeated rows and an empty table are fine;
+    other columns of ``frame`` than the named ones aren't read, so none can clash.
     """
     spark = frame.sparkSession
     text = F.regexp_replace(F.trim(F.regexp_replace("_value", r"^\s+|\s+$", "")), ANNOTATION, "")
-    facts = spread(frame.select(F.col(row).alias("_row"), F.col(key).alias("_key"), F.col(value).alias("_value")))
-    facts = facts.select("_row", "_key", text.alias("_text"))
+    kept = [f"_kept{i}" for i in range(len(keep))]
+    facts = spread(frame.select(F.col(row).alias("_row"), F.col(key).alias("_key"), F.col(value).alias("_value"), *(F.col(c).alias(k) for c, k in zip(keep, kept, strict=True))))
+    facts = facts.select("_row", "_key", *kept, text.alias("_text"))
     facts = facts.withColumn("_count", count_micros(F.col("_text")))
     facts = facts.withColumn("_part", F.when(F.col("_count").isNull(), F.split(record_of(F.col("_text")), r"\|")))
     facts = facts.select("*", F.nullif(F.col("_part")[8], F.lit("")).alias("_own"))
@@ -127,8 +129,8 @@ def normalise_timestamps(frame: DataFrame, evidence: DataFrame, value: str = "ti
     joined = joined.withColumn("zone_key", clean_zone(F.coalesce("_own", "_theirs")))
     joined = joined.join(F.broadcast(zone_names(spark)), "zone_key", "left")
     joined = joined.withColumn("_zone", F.coalesce(fixed_offset(F.col("zone_key")), F.col("zone")))
-    found = F.coalesce(F.col("_count"), F.when(F.col("_zone").isNotNull(), instants(F.col("_local"), F.col("_zone"))))
-    joined = joined.withColumn("_utc", found)
+    joined = joined.withColumn("_found", resolved(F.col("_local"), F.col("_zone")))
+    joined = joined.withColumn("_utc", F.coalesce("_count", "_found.us"))
     epochs = (0, -SINCE_1601)
     blank = F.coalesce(F.col("_text"), F.lit("")).isin("", "0") | F.col("_utc").isin(*epochs) | F.col("_local").isin(*epochs)
     status = (
@@ -136,7 +138,8 @@ def normalise_timestamps(frame: DataFrame, evidence: DataFrame, value: str = "ti
         .when(F.col("_utc").isNotNull(), "ok")
         .when(F.col("_local").isNull(), "unreadable")
         .when(F.col("_zone").isNull(), "no_zone")
+        .when(F.col("_found.shown") == 0, "nonexistent")
         .otherwise("ambiguous")
     )
     joined = joined.withColumn("status", status)
-    return joined.select(F.col("_row").alias(row), F.when(F.col("status") == "ok", F.col("_utc")).alias("utc_us"), "status")
+    return joined.select(*(F.col(k).alias(c) for c, k in zip(keep, kept, strict=True)), F.col("_row").alias(row), F.when(F.col("status") == "ok", F.col("_utc")).alias("utc_us"), "status")

@@ -22,9 +22,9 @@ ROOTS = ("std_info", "file_name", "second_file_name")
 
 
 def _timestamps(spark: SparkSession, d: str) -> DataFrame:
-    evidence = table(spark, d, "evidence_info")
-    parts = [normalise_timestamps(table(spark, d, t), evidence).withColumn("table_name", F.lit(t)) for t in TIMED]
-    return reduce(DataFrame.unionByName, parts)
+    """The three tables as one, so that the evidence is looked up once."""
+    parts = [table(spark, d, t).select(F.lit(t).alias("table_name"), "row_id", "evd_id", "timestamp") for t in TIMED]
+    return normalise_timestamps(reduce(DataFrame.unionByName, parts), table(spark, d, "evidence_info"), keep=("table_name",))
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:

@@ -7,8 +7,9 @@ import tempfile
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A lookup table is broadcast only if it was counted to have at most this many rows ...
+#: A lookup table is broadcast only if it was measured to have at most this many rows and about this many bytes ...
 BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 64 << 20
 #: ... and is otherwise joined by shuffle, with each of its rows repeated for this many salts of the fact side.
 SALTS = 16
 
@@ -61,17 +62,26 @@ def cut(frame: DataFrame) -> DataFrame:
     return frame.checkpoint(eager=True)
 
 
-def lookup(facts: DataFrame, small: DataFrame, key: str, salt_by: str, how: str = "left", rows: int = BROADCAST_ROWS) -> DataFrame:
+def fits(frame: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> bool:
+    """Whether ``frame`` was measured to be small enough for a broadcast, arrays and long texts counted in."""
+    n, total = frame.agg(F.count(F.lit(1)), F.sum(F.length(F.to_json(F.struct("*"))))).first()
+    return n <= rows and (total or 0) <= size
+
+
+def lookup(facts: DataFrame, small: DataFrame, key: str | list[str], salt_by: str, how: str = "left", rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
     """Join ``facts`` to the unique-key table ``small``.
 
-    ``small`` is counted first. Up to ``rows`` rows it is broadcast; beyond, both sides are shuffled on (key, salt), so that a
-    key that holds a third of ``facts`` is spread over ``SALTS`` tasks. Null keys match nothing (they are salted as well).
+    ``small`` is measured first. Up to ``rows`` rows and ``size`` bytes it is broadcast; beyond, both sides are shuffled on (key, salt), so that a
+    key that holds a third of ``facts`` is spread over ``SALTS`` tasks. Null keys match nothing; each gets a salt of its own, so however many
+    there are they are spread over all tasks.
     """
-    if small.count() <= rows:
-        return facts.join(F.broadcast(small), key, how)
-    salted = facts.withColumn("_salt", F.pmod(F.xxhash64(salt_by), F.lit(SALTS)).cast("int"))
-    repeated = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return salted.join(repeated, [key, "_salt"], how).drop("_salt")
+    on = [key] if isinstance(key, str) else key
+    if fits(small, rows, size):
+        return facts.join(F.broadcast(small), on, how)
+    null = F.greatest(*(F.col(k).isNull() for k in on), F.lit(False))
+    salted = facts.withColumn("_salt", F.when(null, F.xxhash64(salt_by)).otherwise(F.pmod(F.xxhash64(salt_by), F.lit(SALTS))))
+    repeated = small.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))))
+    return salted.join(repeated, [*on, "_salt"], how).drop("_salt")
 
 
 def spread(frame: DataFrame) -> DataFrame:
