@@ -1,8 +1,9 @@
 """Filling containers of fixed capacity with items that aren't split unless they exceed it.
 
-Items are dealt at random (by hash) to groups of about ``GROUP_ITEMS``; each group is packed on its own by first-fit decreasing, where a
-tournament tree over the bins' free space finds the first bin that fits in logarithmic time. A group's size doesn't depend on any
-key of the data, so no key can make one task too large; the price is at most one half-filled bin a group more.
+An item beyond the capacity is cut into pieces of the capacity, which fill a container each and need no packing, and a rest. Rests and whole
+items are dealt at random (by hash) to groups of about ``GROUP_ITEMS``; each group is packed on its own by first-fit decreasing, where a
+tournament tree over the bins' free space finds the first bin that fits in logarithmic time. An item has at most one piece to pack, so a
+group's size depends neither on any key of the data nor on the length of a text; the price is at most one half-filled bin a group more.
 """
 
 from __future__ import annotations
@@ -15,6 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 GROUP_ITEMS = 8192
+#: A table of more classes than this is refused: every class is a packing of all items of its own.
+MAX_CLASSES = 1000
 
 
 class Tournament:
@@ -73,27 +76,34 @@ def pack(items: DataFrame, row: str, size: str, containers: DataFrame, name: str
     """(name, container, row, piece, start, size): which container each piece of each item lies in, for each class in ``containers``.
 
     An item up to the capacity is one piece (0). A larger one is cut into pieces of the capacity and a rest. ``container`` is unique within the
-    class. Items of size 0 or null are one piece of size 0. ``containers`` is a small table of classes (it is read by the driver); classes
-    with a null or non-positive capacity are left out. Repeated rows are packed each. Empty items give no row.
+    class. Items of size 0 or null are one piece of size 0. ``containers`` is a small table of classes (it is read by the driver, ``MAX_CLASSES``
+    at most); classes with a null or non-positive capacity are left out. Repeated rows are packed each. Empty items give no row.
+    ``items`` should be cut off from its lineage, as the numbers of containers of full pieces follow its order.
     """
-    classes = [(r[name], int(r[capacity])) for r in containers.select(name, capacity).collect() if r[capacity] and r[capacity] > 0]
+    classes = [(r[name], int(r[capacity])) for r in containers.filter(F.col(capacity) > 0).select(name, capacity).limit(MAX_CLASSES + 1).collect()]
+    if len(classes) > MAX_CLASSES:
+        raise ValueError(f"more than {MAX_CLASSES} classes of containers")
     spark, kind = items.sparkSession, items.schema[row].dataType.simpleString()
     total = items.count()
     groups = max(1, -(-total // group_items))
     listed = F.array(*(F.struct(F.lit(n).alias("cls"), F.lit(c).cast("bigint").alias("cap")) for n, c in classes)) if classes else F.expr("cast(array() as array<struct<cls:string,cap:bigint>>)")
     sized = items.select(F.col(row).alias("r"), F.greatest(F.coalesce(F.col(size).cast("bigint"), F.lit(0)), F.lit(0)).alias("s"))
     each = sized.select("r", "s", F.explode(listed).alias("c")).select("r", "s", "c.cls", "c.cap")
-    pieces = each.withColumn("piece", F.explode(F.sequence(F.lit(0), F.greatest(F.ceil(F.col("s") / F.col("cap")) - 1, F.lit(0)))))
-    pieces = pieces.withColumn("start", F.col("piece") * F.col("cap")).withColumn("s", F.least(F.col("cap"), F.col("s") - F.col("start")))
-    pieces = pieces.withColumn("g", F.pmod(F.xxhash64("r", "piece"), F.lit(groups)).cast("int"))
+    each = each.withColumn("full", F.floor(F.col("s") / F.col("cap"))).withColumn("rest", F.col("s") - F.col("full") * F.col("cap"))
+    full = each.filter("full > 0").select("cls", "cap", "r", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("full") - 1)).alias("piece"))
+    # odd numbers are containers of one full piece, even ones those of the groups
+    full = full.select("cls", (F.monotonically_increasing_id() * 2 + 1).alias("container"), "r", "piece", (F.col("piece") * F.col("cap")).alias("start"), F.col("cap").alias("s"))
+    rests = each.filter("rest > 0 or full = 0").select("cls", "cap", "r", F.col("full").alias("piece"), (F.col("full") * F.col("cap")).alias("start"), F.col("rest").alias("s"))
+    rests = rests.withColumn("g", F.pmod(F.xxhash64("r", "piece"), F.lit(groups)).cast("int"))
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values(["r", "piece"], kind="stable")
         bins = first_fit_decreasing(part["s"].to_numpy(), int(part["cap"].iloc[0]))
-        part["container"] = bins * groups + int(part["g"].iloc[0])
+        part["container"] = 2 * (bins * groups + int(part["g"].iloc[0]))
         return part[["cls", "container", "r", "piece", "start", "s"]]
 
-    out = pieces.groupBy("cls", "g").applyInPandas(run, f"cls string, container bigint, r {kind}, piece bigint, start bigint, s bigint")
+    packed = rests.groupBy("cls", "g").applyInPandas(run, f"cls string, container bigint, r {kind}, piece bigint, start bigint, s bigint")
+    out = packed.unionByName(full)
     return out.select(F.col("cls").alias(name), "container", F.col("r").alias(row), "piece", "start", F.col("s").alias("tokens"))
 
 
@@ -101,5 +111,5 @@ def fill_report(packed: DataFrame, containers: DataFrame, name: str, capacity: s
     """(name, containers, tokens, fill): how many containers each class took and how full they are."""
     per = packed.groupBy(name, "container").agg(F.sum("tokens").alias("t"))
     per = per.groupBy(name).agg(F.count(F.lit(1)).alias("containers"), F.sum("t").alias("tokens"))
-    joined = per.join(F.broadcast(containers.select(name, F.col(capacity).cast("bigint").alias("_cap"))), name)
+    joined = per.join(containers.select(name, F.col(capacity).cast("bigint").alias("_cap")), name)
     return joined.select(name, "containers", "tokens", F.round(F.col("tokens") / (F.col("containers") * F.col("_cap")), 6).alias("fill"))

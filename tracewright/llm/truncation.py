@@ -2,9 +2,13 @@
 
 In plain SQL over all texts: words are brought to a form (numbers, names of files, hosts and paths, and hashes to classes), the trigrams,
 pairs and single words inside texts and those at ends are counted, and the final ones of each text are joined with the counts. A text is cut
-if its final trigram is frequent inside texts and almost never final, or if its last word almost never follows the words before it (a word
-broken in two). Counts are of distinct texts, so copies of a text are no witnesses of its end. They are kept for 64-bit hashes, and only for
-those that a Bloom filter of the asked ones lets through, so the shuffle holds little more than what is asked for.
+(``inside``) if its final trigram is frequent inside texts and almost never final. A word that was itself cut in two makes a trigram that
+occurs nowhere, so for the texts that this leaves the same counts are asked how often trigrams with the same two words go on with that word:
+almost never, and it is ``broken``. Counts are of distinct texts, so copies of a text are no witnesses of its end. They are kept for 64-bit
+hashes, and only for those that a Bloom filter of the asked ones lets through, so the shuffle holds little more than what is asked for (the
+filter grows with the number of ends up to the engine's 8 MB; beyond, more keys pass it and are summed before the shuffle).
+The constants are weights of evidence: a share is mixed with so many occurrences of the more general one, so that few observations don't
+decide. A text of which a small corpus holds too few like ones is left alone there, and is judged once there are enough.
 """
 
 from __future__ import annotations
@@ -13,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracewright.functions.bloom import bloom_filter, might_contain
-from tracewright.session import cut, spread
+from tracewright.session import cut, lookup, spread
 
 #: A text whose last words are final in less than this share of their occurrences doesn't end there.
 FINAL_SHARE = 0.012
@@ -92,7 +96,7 @@ def all_keys(frame: DataFrame, text: str, wanted: DataFrame) -> DataFrame:
 
 
 def find_truncated(frame: DataFrame, row: str, text: str, final_share: float = FINAL_SHARE, follow_share: float = FOLLOW_SHARE) -> DataFrame:
-    """(row, rule): the rows whose text breaks off; rule is ``inside`` (mid-sentence) or ``broken`` (mid-word).
+    """(row, rule): the rows whose text breaks off; rule is ``inside`` (mid-sentence, tried first) or ``broken`` (mid-word).
 
     Null, empty and blank texts are no cases, and an empty table has none. Every text counts once in the statistics, however many copies
     it has; the verdict holds for all of them.
@@ -101,7 +105,8 @@ def find_truncated(frame: DataFrame, row: str, text: str, final_share: float = F
     """
     frame = spread(frame.select(row, text))
     ends = cut(final_keys(frame, row, text))
-    wanted = bloom_filter(ends.select(F.explode(F.array(*_KEYS)).alias("k")), "k", max_bits=1 << 24)
+    keys = ends.select(F.explode(F.array(*_KEYS)).alias("k"))
+    wanted = bloom_filter(keys, "k", items=keys.agg(F.approx_count_distinct("k")).first()[0])
     counts = all_keys(once(frame, text, ends), "text", wanted).groupBy("k").agg(F.sum("weight").alias("n"), F.count(F.lit(1)).alias("m"))
     shape = ("word", "mark", *_KEYS)
     texts = ends.select("h", "i", *shape).distinct()
@@ -129,13 +134,15 @@ def find_truncated(frame: DataFrame, row: str, text: str, final_share: float = F
     follow = F.when(closing, (other("m_k3") + kinds * seen) / (other("m_p2") + kinds)).otherwise((other("m_k3") + after_one) / (other("m_p2") + 1))
     # numbers and marks after words that occur nowhere else are left alone: most are signatures
     known = word | (other("m_p2") > 0)
-    rule = F.when(~F.col("key.mark") & (follow < follow_share), "broken").when((usual < final_share) & ~closing & known, "inside")
-    judged = wide.select("key.*", rule.alias("rule")).filter("rule is not null")
-    return ends.join(judged, list(shape)).select(F.col("row").alias(row), "rule")
+    rule = F.when((usual < final_share) & ~closing & known, "inside").when(~F.col("key.mark") & (follow < follow_share), "broken")
+    judged = cut(wide.select("key.*", rule.alias("rule")).filter("rule is not null"))
+    # an end that a third of the texts share is spread over salts if the verdicts are too many to broadcast
+    return lookup(ends, judged, list(shape), "row", "inner").select(F.col("row").alias(row), "rule")
 
 
 def truncation_report(frame: DataFrame, found: DataFrame, row: str, source: str, text: str) -> DataFrame:
-    """(source, texts, cut, share) over the non-blank texts of each source; a null source is a source of its own."""
-    marked = frame.filter(F.col(text).rlike(r"\S")).select(row, source).join(found.select(row, F.lit(1).alias("cut")), row, "left")
-    per = marked.groupBy(source).agg(F.count(F.lit(1)).alias("texts"), F.count("cut").alias("cut"))
+    """(source, texts, cut, inside, broken, share) over the non-blank texts of each source; a null source is a source of its own."""
+    marked = frame.filter(F.col(text).rlike(r"\S")).select(row, source).join(found.select(row, F.col("rule").alias("_rule")), row, "left")
+    of = lambda rule: F.count(F.when(F.col("_rule") == rule, 1)).alias(rule)
+    per = marked.groupBy(source).agg(F.count(F.lit(1)).alias("texts"), F.count("_rule").alias("cut"), of("inside"), of("broken"))
     return per.withColumn("share", F.round(F.col("cut") / F.col("texts"), 6))
