@@ -82,7 +82,7 @@ def test_analyses(spark):
     calls = spark.createDataFrame([("p", "c", "e", "2024-01-01T00:00:00", "61", "Incoming", "1")], f"{tags}, date string, duration string, type string, number string")
     sms = spark.createDataFrame([("p", "c", "e", "2024-01-01T00:00:00", "Sent", "9", "hello")], f"{tags}, date string, direction string, address string, body string")
     line = analyses.timeline({"calls": calls, "sms": sms})
-    assert {(r["event_type"], r["duration"], r["description"]) for r in line.collect()} == {("Call", "0:01:01", "Incoming 1"), ("Message(SMS)", "00:00:00", "to 9")}
+    assert {(r["event_type"], r["duration"], r["description"]) for r in line.collect()} == {("Call", "0:01:01", "to:1, call_type:Incoming"), ("Message(SMS)", "00:00:00", "from:, to:9, content:hello")}
     assert {(r["kind"], r["direction"], r["message"]) for r in analyses.communication({"calls": calls, "sms": sms}).collect()} == {("Call", "Incoming", ""), ("SMS", "Outgoing", "llo")}
     records = spark.createDataFrame([(1, 10), (2, 20)], "reference bigint, size bigint")
     changes = spark.createDataFrame([(1, "DATA_EXTEND CLOSE"), (1, "FILE_DELETE CLOSE"), (1, "FILE_CREATE DATA_EXTEND"), (3, "X CLOSE")], "reference bigint, reason string")

@@ -9,11 +9,12 @@ import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
-from tracewright.plans import problems
+from tracewright.plans import cases, problems, scalars
 from tracewright.plans import queries as core
 
-CASES = {**problems.QUERIES, **core.QUERIES}
-SQL = {**problems.ORACLES, **core.ORACLES}
+MODULES = (problems, core, cases, scalars)
+CASES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
+SQL = {k: v for m in MODULES for k, v in m.ORACLES.items()}
 
 
 @pytest.fixture(scope="module")

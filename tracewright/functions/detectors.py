@@ -17,6 +17,7 @@ EMAIL = r"^[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}$"
 PHONES = (r"^\+?\d{8,14}$", r"^\d{2,4}-\d{3,4}-\d{4}$", r"^\+\d{1,3}-\d{1,4}-\d{3,4}-\d{4}$", r"^\(\d{2,4}\) ?\d{3,4}-\d{4}$")
 IP = r"^(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)$"
 MAC = r"^(?:[0-9A-Fa-f]{2}:){5}[0-9A-Fa-f]{2}$"
+COORDINATE = r"^-?\d{1,3}\.\d{3,}$"
 URL = r"^(?i:https?://|www\.)\S+$"
 PACKAGE = r"^[A-Za-z][A-Za-z0-9_]*(?:\.[A-Za-z][A-Za-z0-9_]*){1,7}$"
 PATH = r"^(?:/|[A-Za-z]:[\\/]|file:|content:)[^\n]*$"
@@ -37,14 +38,15 @@ def value_class(value: Column) -> Column:
 
 
 def to_be_skipped(value: Column, column: Column) -> Column:
-    """Values that say nothing: short ones, null words, zero, and numbers in columns of ids."""
+    """Values that say nothing: short ones, null words, zero, negative numbers (unless they look like coordinates), and numbers in columns of ids."""
     upper = F.upper(column)
     return (
         value.isNull()
         | (F.length(F.trim(value)) <= 3)
         | F.upper(value).isin("TRUE", "FALSE", "NULL", "NONE")
         | value.rlike(r"^0+(?:\.0+)?$")
-        | ((upper.endswith("_ID") | (upper == "ID")) & value.rlike(r"^\d+$"))
+        | (value.rlike(r"^-\d+(?:\.\d+)?$") & ~value.rlike(COORDINATE))
+        | ((upper.endswith("_ID") | (upper == "ID") | column.endswith("ID")) & value.rlike(r"^\d+$"))
     )
 
 
@@ -95,8 +97,10 @@ def semantic_type(value: Column, column: Column, now: int = 1_767_225_600) -> Co
         .when(value.rlike(MAC), as_type("MAC", "mac"))
         .when((F.length(value) >= 15) & value.rlike(URL), as_type("URL", "url"))
         .when(phone & ~no_phone & (digits > 7) & (digits < 15), as_type("PHONE", "phonenumber"))
-        .when(value.rlike(r"^-?\d{1,3}\.\d{3,}$") & where.between(123, 133), as_type("GEODATA", "longitude"))
-        .when(value.rlike(r"^-?\d{1,3}\.\d{3,}$") & where.between(31, 40), as_type("GEODATA", "latitude"))
+        .when(value.rlike(COORDINATE) & where.between(123, 133), as_type("GEODATA", "longitude"))
+        .when(value.rlike(COORDINATE) & where.between(31, 40), as_type("GEODATA", "latitude"))
+        .when(value.rlike(r"^\d+$") & (upper.contains("LONGITUDE") | upper.isin("LNG", "LON")), as_type("GEODATA", "longitude"))
+        .when(value.rlike(r"^\d+$") & (upper.contains("LATITUDE") | (upper == "LAT")), as_type("GEODATA", "latitude"))
         .when(value.rlike(PATH), as_type("FILE", "path"))
         .when(upper.contains("PASSW") | upper.contains("PWD"), as_type("PASSWORD", "string"))
         .when(upper.contains("CIPHER") | upper.contains("ENCRYPT"), as_type("CIPHER", "string"))

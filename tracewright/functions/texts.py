@@ -66,6 +66,48 @@ def within(text: Column, label: str) -> Column:
     return F.nullif(F.regexp_extract(text, label + r'"?>(.*)<', 1), F.lit(""))
 
 
+def rooted(parent: Column) -> Column:
+    """A parent folder under the image's root; null stays null."""
+    return F.concat(F.lit("root"), parent)
+
+
+def unescaped(xml: Column) -> Column:
+    """The five named entities of XML as characters (the ampersand last, so that nothing is read twice); NUL characters go."""
+    out = F.replace(xml, F.lit("\0"), F.lit(""))
+    for name, mark in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&amp;", "&")):
+        out = F.replace(out, F.lit(name), F.lit(mark))
+    return out
+
+
+def app_name(file_name: Column, names: dict[str, str]) -> Column:
+    """The program of a jump list by its id, which is the file's name without extension; null for unknown ids."""
+    known = F.create_map(*(F.lit(x) for kv in names.items() for x in kv))
+    return known[F.lower(F.substring_index(base_name(file_name), ".", 1))]
+
+
+def provenance(root: Column, browser: str, profile: Column) -> Column:
+    """Where a browser's record comes from: root, browser and profile; the profile is left out where there is none."""
+    return F.concat_ws("/", root, F.lit(browser), F.when(F.trim(profile) != "", F.trim(profile)))
+
+
+# Kinds of the activities that a system's own timeline records.
+ACTIVITIES = {2: "Notification", 3: "Mobile Backup", 5: "Open App/File/Page", 6: "App In Use/Focus", 10: "Clipboard", 16: "Copy/Paste", 11: "System", 12: "System", 15: "System"}
+
+
+def activity_type(code: Column) -> Column:
+    """The kind of an activity; null for codes that mean nothing."""
+    out = F.lit(None).cast("string")
+    for k, name in ACTIVITIES.items():
+        out = F.when(code == k, name).otherwise(out)
+    return out
+
+
+def activity_app(json: Column) -> Column:
+    """The application of an activity from a JSON array of platforms: the second if the first is the platform-independent one, else the first."""
+    first, second = (F.get_json_object(json, f"$[{i}].application") for i in (0, 1))
+    return F.when(F.get_json_object(json, "$[0].platform") == "afs_crossplatform", second).otherwise(first)
+
+
 def like_ci(text: Column, pattern: str) -> Column:
     """LIKE regardless of case; a pattern without wildcards is equality."""
     if "%" not in pattern and "_" not in pattern:

@@ -31,6 +31,39 @@ def unix_by_length(value: Column) -> Column:
     return F.when(n == 13, F.timestamp_millis(value.try_cast("bigint"))).when(n == 16, F.timestamp_micros(value.try_cast("bigint")))
 
 
+def iso_of_seconds(seconds: Column) -> Column:
+    """Seconds since 1970 -> ISO text in UTC, whatever zone the session or machine has."""
+    return F.date_format(F.to_utc_timestamp(F.timestamp_seconds(seconds), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss")
+
+
+def millis_text(millis: Column, pattern: str) -> Column:
+    """Milliseconds since 1970 -> text; ``pattern`` has the marks %Y %m %d %H %i %s of SQL dialects. 0 gives ''."""
+    for mark, own in (("%Y", "yyyy"), ("%m", "MM"), ("%d", "dd"), ("%H", "HH"), ("%i", "mm"), ("%s", "ss")):
+        pattern = pattern.replace(mark, own)
+    return F.when(millis == 0, "").otherwise(F.date_format(F.timestamp_millis(millis), pattern))
+
+
+def millis_in_zone(millis: Column, zone: str) -> Column:
+    """Milliseconds since 1970 -> the local time in ``zone`` as ``yyyy-MM-dd HH:mm:ss``."""
+    return F.date_format(F.from_utc_timestamp(F.timestamp_millis(millis), zone), "yyyy-MM-dd HH:mm:ss")
+
+
+def by_file_system(kind: Column, value: Column, fraction: Column) -> Column:
+    """Microseconds since 1970 of a file's time as its source keeps it: ``tsk`` seconds and nanoseconds since 1970, ``ntfs`` seconds since 1601 and a
+    fraction in 100 ns, ``os`` hundredths of a second since 1970. Null for other kinds."""
+    return (
+        F.when(kind == "tsk", value * 1_000_000 + F.floor(fraction / 1000).cast("bigint"))
+        .when(kind == "ntfs", unix_micros_of_filetime(value, fraction))
+        .when(kind == "os", value * 10_000)
+    )
+
+
+def filetime_of_bytes(content: Column) -> Column:
+    """Eight bytes, big endian, of 100 ns since 1601 -> timestamp; null for other lengths and times beyond the range."""
+    ticks = F.conv(F.hex(content), 16, 10).try_cast("decimal(20,0)")
+    return F.when((F.length(content) == 8) & (ticks < F.lit(2).cast("decimal(20,0)") * (1 << 62)), filetime(ticks.try_cast("bigint")))
+
+
 def mail_time(value: Column) -> Column:
     """``Tue, 05 Mar 2024 10:11:12 GMT`` -> timestamp; null if it isn't one."""
     return F.try_to_timestamp(F.regexp_replace(value, r"^[A-Za-z]{3}, ", ""), F.lit("dd MMM yyyy HH:mm:ss z"))

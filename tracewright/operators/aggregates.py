@@ -90,3 +90,12 @@ def profile(values: DataFrame, n: int = 50) -> DataFrame:
     typed = top_values(values, n).select("table", "column", semantic_type(F.col("value"), F.col("column")).alias("t"))
     per = typed.groupBy("table", "column", "t.type", "t.format").agg(F.count(F.lit(1)).alias("cnt"))
     return per.filter(F.col("type") != UNKNOWN)
+
+
+def grouped_twice(frame: DataFrame, outer: str, inner: str, columns: list[str]) -> DataFrame:
+    """(outer, groups): for each ``outer`` the array of its ``inner`` groups in order, each with the sorted array of its ``records``.
+
+    For nested output only: a group that no row can hold should stay flat.
+    """
+    per = frame.groupBy(outer, inner).agg(F.sort_array(F.collect_list(F.struct(*columns))).alias("records"))
+    return per.groupBy(outer).agg(F.sort_array(F.collect_list(F.struct(inner, "records"))).alias("groups"))

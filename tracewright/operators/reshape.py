@@ -108,3 +108,19 @@ def by_priority(parts: list[DataFrame], by: list[str]) -> DataFrame:
     ranked = union_of([p.withColumn("_p", F.lit(i)) for i, p in enumerate(parts)])
     best = ranked.groupBy(*by).agg(F.min("_p").alias("_p"))
     return ranked.join(best, [*by, "_p"]).drop("_p")
+
+
+def with_streams(frame: DataFrame, keep: list[str], size: Column, streams: str) -> DataFrame:
+    """(keep, kind, stream, bytes): each file as ``file`` with its own size and once more for each of its named ``streams`` (an array of name and size).
+
+    Files without streams (a null or empty array) are one row.
+    """
+    own = F.struct(F.lit("file").alias("kind"), F.lit("").alias("stream"), size.cast("bigint").alias("bytes"))
+    named = F.transform(streams, lambda s: F.struct(F.lit("stream").alias("kind"), s["name"].alias("stream"), s["size"].cast("bigint").alias("bytes")))
+    every = F.when(F.col(streams).isNull(), F.array(own)).otherwise(F.concat(F.array(own), named))
+    return frame.select(*keep, F.inline(every))
+
+
+def notes_and_media(notes: DataFrame, media: DataFrame, content: str = "content") -> DataFrame:
+    """The rows of both by column name; white space is taken out of what media hold."""
+    return notes.unionByName(media.withColumn(content, F.regexp_replace(content, r"(?U)\s", "")))

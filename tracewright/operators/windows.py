@@ -80,3 +80,39 @@ def run_cells(hexed: Column) -> Column:
     length = F.substring(hexed, F.lit(3), a * 2)
     offset = F.substring(hexed, 3 + a * 2, b * 2)
     return F.struct(little_endian(length).alias("length"), little_endian(offset).alias("offset"))
+
+
+def data_runs(hexed: Column) -> Column:
+    """All runs of a hex text as an array of (length, lcn).
+
+    A run's header gives the bytes of length (low digit) and offset (high digit), both little endian; the offset is signed and counts from the run
+    before. A zero header or the end of the text ends the list; a run without an offset is sparse and has a null lcn. Null gives null.
+    """
+    from tracewright.functions.texts import little_endian
+
+    digit = lambda at: F.coalesce(F.conv(F.substring(hexed, at, F.lit(1)), 16, 10).try_cast("int"), F.lit(0))
+    kind = "struct<at:int,lcn:bigint,runs:array<struct<length:bigint,lcn:bigint>>>"
+    start = F.struct(F.lit(1).alias("at"), F.lit(0).cast("bigint").alias("lcn"), F.array().cast("array<struct<length:bigint,lcn:bigint>>").alias("runs")).cast(kind)
+
+    def once(value: Column, use) -> Column:
+        """``use`` of a value that is worked out once, however often it is mentioned."""
+        return F.transform(F.array(value), use)[0]
+
+    def step(state: Column, _: Column) -> Column:
+        over = F.struct((F.length(hexed) + 1).cast("int").alias("at"), state["lcn"].alias("lcn"), state["runs"].alias("runs")).cast(kind)
+
+        def body(head: Column) -> Column:
+            parts = F.struct(
+                little_endian(F.substring(hexed, state["at"] + 2, head["n"] * 2)).alias("length"), little_endian(F.substring(hexed, state["at"] + 2 + head["n"] * 2, head["m"] * 2)).alias("raw"),
+                F.pow(F.lit(2.0), (head["m"] * 8).cast("double")).cast("bigint").alias("top"),
+            )
+            offset = lambda x: F.when(head["m"] > 0, state["lcn"] + F.when(x["raw"] >= F.floor(x["top"] / 2), x["raw"] - x["top"]).otherwise(x["raw"]))
+            runs = once(parts, lambda x: F.struct(x["length"].alias("length"), offset(x).alias("lcn")))
+            return once(runs, lambda run: F.struct((state["at"] + 2 + (head["n"] + head["m"]) * 2).cast("int").alias("at"), F.coalesce(run["lcn"], state["lcn"]).alias("lcn"), F.concat(state["runs"], F.array(run)).alias("runs")).cast(kind))
+
+        heads = F.struct(digit(state["at"]).alias("m"), digit(state["at"] + 1).alias("n"))
+        return F.when(state["at"] > F.length(hexed), state).otherwise(once(heads, lambda head: F.when(head["n"] == 0, over).otherwise(body(head))))
+
+    # a run takes two bytes at least
+    steps = F.sequence(F.lit(1), F.greatest(F.floor(F.length(hexed) / 4).cast("int"), F.lit(1)))
+    return F.aggregate(steps, start, step, lambda s: s["runs"])

@@ -47,6 +47,22 @@ def icons(mapping: DataFrame, favicons: DataFrame, bitmaps: DataFrame) -> DataFr
     return mapping.select("page_url", "icon_id").join(f, "icon_id", "left").drop("icon_id")
 
 
+def icon_lists(favicons: DataFrame, mapping: DataFrame) -> DataFrame:
+    """(id, url, page_urls): each icon with the sorted list of its distinct pages, which is empty for icons of no page.
+
+    The pairs are made distinct first, so that equal ones are combined before the shuffle.
+    """
+    pages = mapping.select(F.col("icon_id").alias("id"), "page_url").distinct().groupBy("id").agg(F.sort_array(F.collect_list("page_url")).alias("page_urls"))
+    return favicons.select("id", "url").join(pages, "id", "left").withColumn("page_urls", F.coalesce("page_urls", F.array().cast("array<string>")))
+
+
+def required_settings(settings: DataFrame, names: list[str]) -> DataFrame:
+    """One row a profile with a column for each of ``names``; a profile that lacks one ends the query with an error that says which."""
+    wide = settings.groupBy("profile").agg(*(F.max(F.when(F.col("name") == n, F.col("value"))).alias(n) for n in names))
+    missing = lambda n: F.raise_error(F.concat(F.lit(f"setting {n} is missing in profile "), F.col("profile").cast("string"))).cast("string")
+    return wide.select("profile", *(F.coalesce(F.col(n), missing(n)).alias(n) for n in names))
+
+
 def downloads(targets: DataFrame, details: DataFrame) -> DataFrame:
     """(place_id, n, target, detail): where a place has as many targets as details they are paired by position, else all that share it are."""
     counted = lambda f, c: f.groupBy("place_id").agg(F.count(F.lit(1)).alias(c))

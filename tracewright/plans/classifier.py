@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import HashingTF, IndexToString, StringIndexer
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewright.functions.texts import bare_words
@@ -59,3 +59,38 @@ def figures(counts: DataFrame, label: str, predicted: str) -> DataFrame:
     per = per.select("t", "h", precision.alias("p"), recall.alias("r"))
     f1 = F.when(F.col("p") + F.col("r") > 0, 2 * F.col("p") * F.col("r") / (F.col("p") + F.col("r"))).otherwise(0.0)
     return per.agg((F.sum("h") / F.sum("t")).alias("accuracy"), F.avg("p").alias("precision"), F.avg("r").alias("recall"), F.avg(f1).alias("f1"))
+
+
+def rmse(counts: DataFrame, label: str, predicted: str) -> DataFrame:
+    """One row: the root of the mean square of the difference of class numbers (classes in alphabetical order), from the confusion counts alone."""
+    classes = counts.select(F.explode(F.array(label, predicted)).alias("c")).distinct()
+    order = classes.agg(F.sort_array(F.collect_list("c")).alias("order"))  # as many as there are classes
+    both = counts.crossJoin(F.broadcast(order))  # one row
+    number = lambda c: F.array_position("order", F.col(c))
+    square = F.pow(number(label) - number(predicted), F.lit(2.0))
+    return both.agg(F.sqrt(F.sum(square * F.col("cnt")) / F.sum("cnt")).alias("rmse"))
+
+
+def roc_auc(frame: DataFrame, score: str, positive: str, cells: int = 1000) -> DataFrame:
+    """One row: the share of pairs of a positive and a negative row whose scores are in order, ties counting half. Null without both kinds.
+
+    Rows are counted by score first; scores are then added up within cells of ``1 / cells`` and the cells, which are few, among themselves.
+    """
+    hit = F.col(positive).cast("int")
+    per = frame.groupBy(F.col(score).alias("s")).agg(F.sum(hit).alias("pos"), F.sum(1 - hit).alias("neg")).withColumn("cell", F.floor(F.col("s") * cells))
+    totals = per.groupBy("cell").agg(F.sum("neg").alias("n"))
+    before = totals.select("cell", (F.sum("n").over(Window.orderBy("cell")) - F.col("n")).alias("before"))
+    inner = F.sum("neg").over(Window.partitionBy("cell").orderBy("s")) - F.col("neg")
+    ranked = per.withColumn("within", inner).join(before, "cell")
+    pairs = F.sum(F.col("pos") * (F.col("before") + F.col("within") + F.col("neg") / 2))
+    return ranked.agg(F.try_divide(pairs, F.sum("pos") * F.sum("neg")).alias("roc_auc"))
+
+
+def one_hot(label: Column, classes: list[str]) -> Column:
+    """An array with 1.0 in the place of the class, all 0.0 for unknown ones."""
+    return F.array(*(F.coalesce((label == c).cast("double"), F.lit(0.0)) for c in classes))
+
+
+def argmax(values: Column, classes: list[str]) -> Column:
+    """The class in the place of the greatest value, the first of equals."""
+    return F.element_at(F.array(*(F.lit(c) for c in classes)), F.array_position(values, F.array_max(values)).cast("int"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewright.functions.texts import within
@@ -58,25 +58,23 @@ DESCRIPTIONS = {
 
 
 def rule_table(spark: SparkSession) -> DataFrame:
-    """(event_id, category, channel, description, fields): one row for each id and channel of each category; under 200 rows."""
-    rows = [(str(i), c.name, ch, DESCRIPTIONS.get((c.name, i), c.name), list(c.fields)) for c in CATEGORIES for i in c.ids for ch in (c.channels or ("",))]
-    return spark.createDataFrame(rows, "event_id string, category string, channel string, description string, fields array<string>")
+    """(event_id, category, channels, description, fields): one row for each id of each category; under 200 rows, whatever the data."""
+    rows = [(str(i), c.name, [ch.lower() for ch in c.channels], DESCRIPTIONS.get((c.name, i), c.name), list(c.fields)) for c in CATEGORIES for i in c.ids]
+    return spark.createDataFrame(rows, "event_id string, category string, channels array<string>, description string, fields array<string>")
 
 
 def categorised(events: DataFrame, event_id: str = "event_id", source: str = "source", data: str = "data") -> DataFrame:
     """``events`` with category, description and a map of the fields found. An event may belong to several categories; to each only once.
 
     A field that is missing is not in the map. Channels are compared regardless of case; an event with a null channel belongs to categories of
-    any channel only.
+    any channel only. The rules of a category and id are one row with all its channels, so no event is hit twice and nothing is shuffled.
     """
-    rules = F.broadcast(rule_table(events.sparkSession).withColumnRenamed("event_id", "_id"))
-    keyed = events.withColumn("_row", F.monotonically_increasing_id())
-    hit = keyed.join(rules, (F.col(event_id).cast("string") == F.col("_id")) & F.coalesce(F.lower(F.col(source)).contains(F.lower("channel")), F.col("channel") == ""))
+    rules = F.broadcast(rule_table(events.sparkSession).select(F.col("event_id").alias("_id"), "category", F.col("channels").alias("_channels"), "description", F.col("fields").alias("_fields")))
+    of_channel = (F.size("_channels") == 0) | F.coalesce(F.exists("_channels", lambda c: F.lower(F.col(source)).contains(c)), F.lit(False))
+    hit = events.join(rules, (F.col(event_id).cast("string") == F.col("_id")) & of_channel)
     labels = sorted({f for c in CATEGORIES for f in c.fields})
-    found = F.map_from_entries(F.filter(F.array(*(F.struct(F.lit(f).alias("k"), F.when(F.array_contains("fields", f), within(F.col(data), f)).alias("v")) for f in labels)), lambda x: x["v"].isNotNull()))
-    ranked = F.row_number().over(Window.partitionBy("_row", "category").orderBy("channel"))
-    once = hit.withColumn("_rank", ranked).filter("_rank = 1")
-    return once.select(*events.columns, "category", "description", found.alias("values"))
+    found = F.map_from_entries(F.filter(F.array(*(F.struct(F.lit(f).alias("k"), F.when(F.array_contains("_fields", f), within(F.col(data), f)).alias("v")) for f in labels)), lambda x: x["v"].isNotNull()))
+    return hit.select(*events.columns, "category", "description", found.alias("values"))
 
 
 def described(kind: Column, rules: dict[str, str]) -> Column:

@@ -11,22 +11,12 @@ from tracewright.operators import aggregates as A
 from tracewright.operators import joins as J
 from tracewright.operators import reshape as R
 from tracewright.operators import windows as W
+from tracewright.plans.registering import Queries
 from tracewright.session import table
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    """Register a function as a query under its name, with its SQL if SQL can express it."""
-
-    def keep(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return keep
+CORE = Queries()
+query = CORE.query
+QUERIES, ORACLES = CORE.functions, CORE.sql
 
 
 def _text(c: str):
@@ -105,7 +95,7 @@ def string_agg_ordered(spark: SparkSession, d: str) -> DataFrame:
     return A.joined_text(joined, ["r_name"], "n_name", "n_nationkey")
 
 
-@query("select user_id, min(ts) as first, max(ts) as last, datediff('second', date_trunc('microsecond', min(ts)), max(ts)) as seconds_coarse, floor((epoch_us(max(ts)) - epoch_us(min(ts))) / 1000000)::bigint as seconds from events group by 1".replace("datediff('second', date_trunc('microsecond', min(ts)), max(ts)) as seconds_coarse, ", ""))
+@query("select user_id, min(ts) as first, max(ts) as last, floor((epoch_us(max(ts)) - epoch_us(min(ts))) / 1000000)::bigint as seconds from events group by 1")
 def span_seconds(spark: SparkSession, d: str) -> DataFrame:
     return W.spans(table(spark, d, "events"), ["user_id"], "ts")
 
@@ -146,15 +136,6 @@ def semantic_types(spark: SparkSession, d: str) -> DataFrame:
 # ------------------------------------------------------------------ joins
 
 
-@query("""select o_orderkey, c_name, case when c_mktsegment like '%BUILD%' then 'Building' when c_mktsegment like '%AUTO%' then 'Auto' else '' end as site
-    from orders join customer on o_custkey = c_custkey""")
-def search_terms_join(spark: SparkSession, d: str) -> DataFrame:
-    customer = table(spark, d, "customer").select("c_custkey", "c_name", "c_mktsegment")
-    segment = F.col("c_mktsegment")
-    site = F.when(segment.contains("BUILD"), "Building").when(segment.contains("AUTO"), "Auto").otherwise("")
-    return table(spark, d, "orders").join(customer, F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "c_name", site.alias("site"))
-
-
 @query("""select e.event_id, e.user_id, coalesce(p.event_type, '') as from_type, coalesce(n.n_name, '') as nation, coalesce(c.c_name, e.user_id::varchar) as customer
     from events e left join events p on p.event_id = e.event_id - 1 left join customer c on c.c_custkey = e.user_id left join nation n on n.n_nationkey = c.c_nationkey""")
 def visit_history_joins(spark: SparkSession, d: str) -> DataFrame:
@@ -174,9 +155,6 @@ def three_way_join(spark: SparkSession, d: str) -> DataFrame:
     return joined.groupBy("c_mktsegment", "o_orderpriority").agg(F.sum("n").alias("lines"), F.round(F.sum("q"), 2).alias("quantity"))
 
 
-_FIRST = "(select l_quantity from lineitem l where l.l_orderkey = o.o_orderkey and l_returnflag = '{0}' order by l_linenumber, l_quantity, l_extendedprice limit 1) as first_{1}"
-
-
 @query("select l_orderkey as o_orderkey, " + ", ".join(f"arg_min(l_quantity, (l_linenumber, l_quantity)) filter (l_returnflag = '{f}') as first_{f.lower()}" for f in "RAN") + " from lineitem group by 1")
 def scalar_subquery_first(spark: SparkSession, d: str) -> DataFrame:
     lines = table(spark, d, "lineitem")
@@ -193,15 +171,11 @@ def positional_zip_join(spark: SparkSession, d: str) -> DataFrame:
     return J.zipped(e.filter("event_type = 'signup'"), right, [F.col("ts"), F.col("event_id")], [F.col("at"), F.col("bought")], ["user_id"]).select("user_id", "event_id", "bought")
 
 
-@query("""select i.row_id, case when upper(md5) in (select upper(pwd) from id_password_hash where pwd is not null) or md5 in (select md5 from partition_info where md5 is not null) then 'Matching' else 'Not Matching' end as known
-    from evidence_info i""".replace("upper(md5) in (select upper(pwd) from id_password_hash where pwd is not null) or ", ""))
+@query("select row_id, case when upper(md5) in (select upper(md5) from partition_info where md5 is not null) then 'Matching' else 'Not Matching' end as known from evidence_info")
 def semi_flag_hash(spark: SparkSession, d: str) -> DataFrame:
     return J.flagged(table(spark, d, "evidence_info"), F.upper("md5"), table(spark, d, "partition_info"), F.upper("md5"), "known").select("row_id", "known")
 
 
-ORACLES["semi_flag_hash"] = "select row_id, case when upper(md5) in (select upper(md5) from partition_info where md5 is not null) then 'Matching' else 'Not Matching' end as known from evidence_info"
-
-
 @query("""select n_nationkey, n_name from nation join region on n_regionkey = r_regionkey where r_name not in ('REGION_0') and n_name <> 'NATION_7' and not (r_name = 'REGION_2' and n_name = 'NATION_2')
     and not (r_name = (select min(r_name) from region))""")
 def anti_rules(spark: SparkSession, d: str) -> DataFrame:
@@ -221,7 +195,7 @@ def like_first_match(spark: SparkSession, d: str) -> DataFrame:
     return J.first_match(files, "source", patterns, "prefix", "rank", "row_id", (2, 3, 4)).select("row_id", "matched_prefix", "matched_rank")
 
 
-@query("""select distinct c_custkey, o_orderpriority from customer, orders, part where c_custkey = o_custkey""".replace(", part where", " where") + " and exists (select 1 from part)")
+@query("select distinct c_custkey, o_orderpriority from customer, orders, (select p_size from part group by 1) where c_custkey = o_custkey")
 def cross_distinct(spark: SparkSession, d: str) -> DataFrame:
     """An equi join with a third table that has no predicate of its own: the product only repeats rows, so it is a guard, not a join."""
     any_part = not table(spark, d, "part").isEmpty()
@@ -282,18 +256,14 @@ def lookback_25_nearest(spark: SparkSession, d: str) -> DataFrame:
     return W.looked_back(log, ["par_id"], [F.col("at"), F.col("row_id")], 25, "lcn", F.col("redo_op") == "InitializeFileRecordSegment", "row_id", "init_row").select("row_id", "init_row")
 
 
-@query("""with r as (select event_id, date_trunc('hour', ts) as h, user_id, row_number() over (partition by date_trunc('hour', ts) order by ts, event_id) as n from events)
-    select a.event_id, coalesce(list_transform(list_sort(list(b.n) filter (b.n is not null), 'DESC')[1:2], x -> x), [])::bigint[] as nearest from r a left join r b on a.h = b.h and a.n - b.n between 1 and 20 and a.user_id = b.user_id group by 1""".replace("list_transform(list_sort(list(b.n) filter (b.n is not null), 'DESC')[1:2], x -> x)", "list(b.event_id order by b.n desc) filter (b.n is not null)[1:2]"))
+@query("""with r as (select event_id, date_trunc('hour', ts) as h, user_id, row_number() over (partition by date_trunc('hour', ts) order by ts, event_id) as n from events),
+    m as (select a.event_id, b.event_id as other, row_number() over (partition by a.event_id order by b.n desc) as k from r a join r b on a.h = b.h and a.n - b.n between 1 and 20 and a.user_id = b.user_id),
+    g as (select event_id, list(other order by k) as nearest from m where k <= 2 group by 1) select event_id, coalesce(nearest, []::bigint[]) as nearest from r left join g using (event_id)""")
 def lookback_20_list(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "events").select("event_id", F.date_trunc("hour", "ts").alias("h"), "user_id", "ts")
     return W.looked_back(e, ["h"], [F.col("ts"), F.col("event_id")], 20, "user_id", F.lit(True), "event_id", "nearest", 2).select("event_id", "nearest")
 
 
-ORACLES["lookback_20_list"] = """with r as (select event_id, date_trunc('hour', ts) as h, user_id, row_number() over (partition by date_trunc('hour', ts) order by ts, event_id) as n from events),
-    m as (select a.event_id, b.event_id as other, row_number() over (partition by a.event_id order by b.n desc) as k from r a join r b on a.h = b.h and a.n - b.n between 1 and 20 and a.user_id = b.user_id),
-    g as (select event_id, list(other order by k) as nearest from m where k <= 2 group by 1) select event_id, coalesce(nearest, []::bigint[]) as nearest from r left join g using (event_id)"""
-
-
 @query("select event_id, row_number() over (partition by user_id order by ts, event_id) = 1 as is_first from events")
 def first_row_flag(spark: SparkSession, d: str) -> DataFrame:
     return W.first_rows(table(spark, d, "events"), ["user_id"], [F.col("ts"), F.col("event_id")]).select("event_id", "is_first")
@@ -383,16 +353,13 @@ def recursive_path(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""with a as (select par_id, file_name, 1 as p from lv1_os_win_reg_user_assist where coalesce(backup_flag, '') = ''), b as (select par_id, file_name, 2 as p from lv1_os_win_reg_user_assist where backup_flag = 'RegBack')
-    select par_id, file_name from a union all select par_id, file_name from b where par_id not in (select par_id from a where par_id is not null) and par_id is not null""")
+    select par_id, file_name from a where par_id is not null union all select par_id, file_name from b where par_id not in (select par_id from a where par_id is not null) and par_id is not null""")
 def priority_sources(spark: SparkSession, d: str) -> DataFrame:
     u = table(spark, d, "lv1_os_win_reg_user_assist").select("par_id", "file_name", "backup_flag")
     parts = [u.filter(F.coalesce("backup_flag", F.lit("")) == "").select("par_id", "file_name"), u.filter("backup_flag = 'RegBack'").select("par_id", "file_name")]
     return R.by_priority([p.filter("par_id is not null") for p in parts], ["par_id"])
 
 
-ORACLES["priority_sources"] = ORACLES["priority_sources"].replace("select par_id, file_name from a union", "select par_id, file_name from a where par_id is not null union")
-
-
 @query("select distinct par_id from call_history where par_id is not null except select par_id from geodata")
 def set_difference(spark: SparkSession, d: str) -> DataFrame:
     calls = table(spark, d, "call_history").filter("par_id is not null").select("par_id").distinct()
@@ -442,16 +409,6 @@ def file_ref_split(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").select("event_id", bits.entry_number(ref).alias("entry"), bits.sequence_number(ref).alias("sequence"))
 
 
-@query("""select o_orderkey, case when (epoch(o_orderdate)::bigint % 100000, o_custkey % 7) < (o_orderkey * 37 % 100000, o_custkey % 5) then 'Y' else 'N' end as is_copied,
-    case when greatest(o_orderkey + 11644473000, o_custkey) > 11644473600 then o_orderkey + 11644473000 - 11644473600 else o_orderkey + 11644473000 end as seconds from orders""")
-def mft_history_is_copied(spark: SparkSession, d: str) -> DataFrame:
-    o = table(spark, d, "orders")
-    seconds = F.unix_date(F.col("o_orderdate").cast("date")).cast("bigint") * 86400
-    copied = bits.earlier(F.pmod(seconds, F.lit(100000)), F.col("o_custkey") % 7, F.pmod(F.col("o_orderkey") * 37, F.lit(100000)), F.col("o_custkey") % 5)
-    raw = F.col("o_orderkey") + 11644473000
-    return o.select("o_orderkey", F.when(copied, "Y").otherwise("N").alias("is_copied"), times.epoch_switched(raw, F.col("o_custkey")).alias("seconds"))
-
-
 @query("""select row_id, split_part(file_name, chr(92), -1) as base, regexp_extract(file_name, '[^./]\\.([^./]*)$', 1) as ext, replace(file_name, chr(92), '/') as path, translate(useraccount, 'abcdefghijklmnopqrstuvwxyz', 'nopqrstuvwxyzabcdefghijklm') as turned,
     regexp_extract(source_location, '\\{(.*)\\}', 1) as guid, right(source_location, 13) as tail from lv1_os_win_reg_user_assist""")
 def path_functions(spark: SparkSession, d: str) -> DataFrame:
@@ -510,49 +467,18 @@ def content_digest(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").filter("text is not null").select("doc_id", bits.sha1_upper(F.col("text").cast("binary")).alias("digest"))
 
 
-@query("""select source, count(*) as documents, sum((text is not null and n_chars = length(text))::int)::bigint as right_length,
-    sum((lower(ext) in ('docx', 'hwp') )::int)::bigint as office from documents group by 1""")
-def document_flags(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents")
-    right = (F.col("text").isNotNull() & (F.col("n_chars") == F.length("text"))).cast("int")
-    return docs.groupBy("source").agg(F.count(F.lit(1)).alias("documents"), F.sum(F.coalesce(right, F.lit(0))).alias("right_length"), F.sum(F.lower("ext").isin("docx", "hwp").cast("int")).alias("office"))
-
-
 @query()
 def ml_classifier(spark: SparkSession, d: str) -> DataFrame:
-    """The source of each document from its words; figures over all documents."""
+    """The source of each document from its words: trained on four fifths by hash, and figures over the fifth that it wasn't trained on."""
     from tracewright.plans import classifier as C
 
     docs = table(spark, d, "documents").select("doc_id", "text", "source")
-    model = C.train(docs, "text", "source", "doc_id")
-    pairs = docs.join(C.classify(docs, model, "doc_id", "text"), "doc_id")
+    held = F.pmod(F.xxhash64("doc_id"), F.lit(5)) == 0
+    model = C.train(docs.filter(~held), "text", "source", "doc_id")
+    pairs = docs.filter(held).join(C.classify(docs.filter(held), model, "doc_id", "text"), "doc_id")
     return C.figures(C.confusion(pairs, "source", "predicted"), "source", "predicted")
 
 
-@query("""with r as (select * from (values ('signup', 'Account', 'created'), ('error', 'Fault', 'failed'), ('purchase', 'Order', 'bought')) v(event_type, category, description))
-    select event_id, category, description from events join r using (event_type)""")
-def category_rules(spark: SparkSession, d: str) -> DataFrame:
-    rules = spark.createDataFrame([("signup", "Account", "created"), ("error", "Fault", "failed"), ("purchase", "Order", "bought")], "event_type string, category string, description string")
-    return table(spark, d, "events").join(F.broadcast(rules), "event_type").select("event_id", "category", "description")
-
-
-@query("""select row_id, case when coalesce(account, '') = '' then 'Outgoing' else 'Incoming' end as direction, substring(contents, 3, 3) as message from call_history
-    union all select -row_id, 'Login', substring(contents, 3, 3) from id_password_hash""")
-def communication_union(spark: SparkSession, d: str) -> DataFrame:
-    calls, logins = table(spark, d, "call_history"), table(spark, d, "id_password_hash")
-    direction = F.when(F.coalesce("account", F.lit("")) == "", "Outgoing").otherwise("Incoming")
-    return R.union_of([calls.select("row_id", direction.alias("direction"), texts.masked(F.col("contents"), 3, 3).alias("message")), logins.select((-F.col("row_id")).alias("row_id"), F.lit("Login").alias("direction"), texts.masked(F.col("contents"), 3, 3).alias("message"))])
-
-
-@query("""select row_id, split_part(file_name, chr(92), -1) as process_name, last_run_time as execution_time, 'UserAssist' as source from lv1_os_win_reg_user_assist where try_cast(last_run_time as timestamptz) > timestamptz '1970-01-01 00:00:00+00'
-    union all select -event_id, event_type, strftime(ts, '%Y-%m-%d %H:%M:%S'), 'Event' from events""")
-def app_history_union(spark: SparkSession, d: str) -> DataFrame:
-    u = table(spark, d, "lv1_os_win_reg_user_assist").filter(times.after_epoch(F.col("last_run_time")))
-    first = u.select("row_id", texts.base_name(F.col("file_name")).alias("process_name"), F.col("last_run_time").alias("execution_time"), F.lit("UserAssist").alias("source"))
-    second = table(spark, d, "events").select((-F.col("event_id")).alias("row_id"), F.col("event_type").alias("process_name"), _text("ts").alias("execution_time"), F.lit("Event").alias("source"))
-    return R.union_of([first, second])
-
-
 @query("select evd_id, filesystem, count(*) as volumes, sum(par_size)::bigint as bytes, count(*) filter (md5 is null) as unhashed from partition_info group by all")
 def volume_report(spark: SparkSession, d: str) -> DataFrame:
     p = table(spark, d, "partition_info")

@@ -1,7 +1,7 @@
 """Files as tables: catalogues, archives, mails, logs, pages and carved blocks.
 
 Everything starts from Spark's ``binaryFile`` reader, which prunes the content if only metadata is asked for; decoders run file by file in
-Arrow batches. A file that can't be decoded gives no row of its own, or one with an error where the reader says so.
+Arrow batches. A file that can't be decoded gives one row with the kind of error and nulls beside it, so that no damage goes unseen.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ import email.policy
 import io
 import json
 import plistlib
+import re
 import zipfile
 from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
@@ -53,8 +54,12 @@ def within_depth(files: DataFrame, depth: int, root: str, path: str = "path") ->
     return files.filter(F.col(path).startswith(root.rstrip("/") + "/") & (F.length(below) - F.length(F.replace(below, F.lit("/"), F.lit(""))) <= depth))
 
 
-def decoded(frame: DataFrame, decode: Callable[[str, bytes], list[tuple]], schema: str) -> DataFrame:
-    """The rows that ``decode(path, content)`` gives for each file, with its path first."""
+def decoded(frame: DataFrame, decode: Callable[[str, bytes], list[tuple]], schema: str, errors: bool = False) -> DataFrame:
+    """The rows that ``decode(path, content)`` gives for each file, with its path first.
+
+    A damaged file doesn't end the job. With ``errors`` there is a last column ``error``: null, or the kind of error of a file that has no other row;
+    without, the rows with an error are filtered out (for readers that only ask for what can be read).
+    """
     names = [x.split()[0] for x in schema.split(", ")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -62,35 +67,62 @@ def decoded(frame: DataFrame, decode: Callable[[str, bytes], list[tuple]], schem
             rows = []
             for path, content in zip(batch["path"], batch["content"], strict=True):
                 try:
-                    rows += [(path, *r) for r in decode(path, bytes(content))] if content is not None else []
-                except Exception:  # noqa: BLE001, S112 - a damaged file must not end the job
-                    continue
-            yield pd.DataFrame(rows, columns=["path", *names])
+                    rows += [(path, *r, None) for r in decode(path, bytes(content))] if content is not None else []
+                except Exception as e:  # noqa: BLE001 - whatever is wrong with one file
+                    kind = type(e)
+                    rows.append((path, *[None] * len(names), f"{kind.__module__}.{kind.__qualname__}".removeprefix("builtins.")))
+            yield pd.DataFrame(rows, columns=["path", *names, "error"], dtype=object)
+
+    out = frame.select("path", "content").mapInPandas(run, f"path string, {schema}, error string")
+    return out if errors else out.filter("error is null").drop("error")
 
-    return frame.select("path", "content").mapInPandas(run, f"path string, {schema}")
 
+def damaged(frame: DataFrame, reader: Callable[..., DataFrame]) -> DataFrame:
+    """(path, error) of the files that a reader of this module can't decode."""
+    return reader(frame, errors=True).filter("error is not null").select("path", "error")
 
-def zip_entries(frame: DataFrame) -> DataFrame:
+
+def zip_entries(frame: DataFrame, errors: bool = False) -> DataFrame:
     """(path, entry, size) of each member of each archive."""
 
     def decode(path: str, content: bytes) -> list[tuple]:
         with zipfile.ZipFile(io.BytesIO(content)) as z:
             return [(i.filename, i.file_size) for i in z.infolist()]
 
-    return decoded(frame, decode, "entry string, size bigint")
+    return decoded(frame, decode, "entry string, size bigint", errors)
+
+
+_MAIL = "sender string, receivers string, cc string, bcc string, subject string, sent string, body string"
+
+
+def _mail(content: bytes) -> tuple:
+    m = email.message_from_bytes(content, policy=email.policy.default)
+    every = lambda k: ",".join(a.strip() for v in m.get_all(k, []) for a in str(v).split(",") if a.strip())
+    body = m.get_body(("plain", "html"))
+    return str(m.get("From", "")), every("To"), every("Cc"), every("Bcc"), str(m.get("Subject", "")), str(m.get("Date", "")), body.get_content() if body else ""
 
 
-def mails(frame: DataFrame) -> DataFrame:
+def mails(frame: DataFrame, errors: bool = False) -> DataFrame:
     """(path, sender, receivers, cc, bcc, subject, sent, body) of RFC 822 files; mails without a receiver are dropped, lists are joined with commas."""
+    return decoded(frame, lambda _, content: [row] if (row := _mail(content))[1] else [], _MAIL, errors)
 
-    def decode(path: str, content: bytes) -> list[tuple]:
-        m = email.message_from_bytes(content, policy=email.policy.default)
-        every = lambda k: ",".join(a.strip() for v in m.get_all(k, []) for a in str(v).split(",") if a.strip())
-        body = m.get_body(("plain", "html"))
-        row = (str(m.get("From", "")), every("To"), every("Cc"), every("Bcc"), str(m.get("Subject", "")), str(m.get("Date", "")), body.get_content() if body else "")
-        return [row] if row[1] else []
 
-    return decoded(frame, decode, "sender string, receivers string, cc string, bcc string, subject string, sent string, body string")
+def mail_boxes(frame: DataFrame, errors: bool = False) -> DataFrame:
+    """The same of files that hold many mails one behind the other (mbox), with the ``number`` of the mail in its file.
+
+    A mail begins at a line that starts with ``From `` behind a blank line or at the start; lines that were quoted for that lose their mark.
+    """
+
+    def decode(_: str, content: bytes) -> list[tuple]:
+        starts = [m.start(1) for m in re.finditer(rb"(?:\A|\r?\n\r?\n)(From [^\n]*\n)", content)]
+        out = []
+        for i, (at, end) in enumerate(zip(starts, [*starts[1:], len(content)], strict=True)):
+            row = _mail(re.sub(rb"(?m)^>(>*From )", rb"\1", content[content.index(b"\n", at) + 1 : end]))
+            if row[1]:
+                out.append((i, *row))
+        return out
+
+    return decoded(frame, decode, f"number bigint, {_MAIL}", errors)
 
 
 class _Text(HTMLParser):
@@ -125,6 +157,55 @@ def pages(frame: DataFrame) -> DataFrame:
     return decoded(frame, decode, "title string, links array<string>, text string")
 
 
+class _Activities(HTMLParser):
+    """The cells of an activity page: action, link and what stands in the lines."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.rows: list[tuple] = []
+        self._cell: dict | None = None
+        self._depth, self._link = 0, False
+
+    def handle_starttag(self, tag, attrs):
+        named = dict(attrs)
+        if tag == "div":
+            if self._cell is None and "content-cell" in (named.get("class") or ""):
+                self._cell, self._depth = {"lines": [""], "title": "", "url": None}, 0
+            self._depth += 1
+        elif self._cell is not None and tag == "a" and self._cell["url"] is None:
+            self._cell["url"], self._link = named.get("href"), True
+        elif self._cell is not None and tag == "br":
+            self._cell["lines"].append("")
+
+    def handle_endtag(self, tag):
+        if tag == "a":
+            self._link = False
+        if tag == "div" and self._cell is not None:
+            self._depth -= 1
+            if not self._depth:
+                lines = [x.replace("\xa0", " ").strip() for x in self._cell["lines"]]
+                self.rows.append((lines[0], self._cell["title"].strip(), self._cell["url"], lines[-1] if len(lines) > 1 else None))
+                self._cell = None
+
+    def handle_data(self, data):
+        if self._cell is not None:
+            if self._link:
+                self._cell["title"] += data
+            else:
+                self._cell["lines"][-1] += data
+
+
+def activities(frame: DataFrame, errors: bool = False) -> DataFrame:
+    """(path, action, title, url, at) of the entries of activity pages: what was done, to what, and the last line, which is the time as written."""
+
+    def decode(_: str, content: bytes) -> list[tuple]:
+        p = _Activities()
+        p.feed(content.decode("utf-8", "replace"))
+        return p.rows
+
+    return decoded(frame, decode, "action string, title string, url string, at string", errors)
+
+
 def property_lists(frame: DataFrame) -> DataFrame:
     """(path, key, value) of the top-level entries of property lists; nested values as JSON."""
 
@@ -164,10 +245,10 @@ PROMISED = {"hwp": "olecf", "doc": "olecf", "xls": "olecf", "ppt": "olecf", "doc
 
 
 def signature(content: Column, table: tuple = SIGNATURES) -> Column:
-    """The type by leading bytes; the longest signature counts, null without any."""
+    """The type by bytes at an offset, which counts from the end if it is negative; the longest signature counts, null without any."""
     out = F.lit(None).cast("string")
     for hexed, offset, name in sorted(table, key=lambda t: len(t[0])):
-        out = F.when(F.substring(content, offset + 1, len(hexed) // 2) == F.unhex(F.lit(hexed)), name).otherwise(out)
+        out = F.when(F.substring(content, offset + 1 if offset >= 0 else offset, len(hexed) // 2) == F.unhex(F.lit(hexed)), name).otherwise(out)
     return out
 
 

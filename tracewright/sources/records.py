@@ -94,3 +94,72 @@ def file_table(frame: DataFrame) -> DataFrame:
 
 def links(frame: DataFrame) -> DataFrame:
     return decoded(frame, lambda _, c: link_target(c), "created_us bigint, accessed_us bigint, written_us bigint, size bigint, local_path string")
+
+
+# Kinds of partitions by their code in a master boot record.
+PARTITION_KINDS = {0x01: "FAT12", 0x04: "FAT16", 0x05: "Extended", 0x06: "FAT16", 0x07: "NTFS/exFAT", 0x0B: "FAT32", 0x0C: "FAT32", 0x0E: "FAT16", 0x0F: "Extended", 0x82: "Linux swap", 0x83: "Linux", 0xAF: "HFS", 0xEE: "GPT", 0xEF: "EFI"}
+
+
+def partition_entries(content: bytes, sector: int = 512) -> list[tuple]:
+    """(number, start_sector, sectors, kind, label) of a disk's partition table: those of a GUID table if there is one, else the four of the boot record.
+
+    ``content`` holds at least the table's sectors. Empty entries are skipped but counted; a disk without a table has none.
+    """
+    if content[510:512] != b"\x55\xaa":
+        return []
+    if content[sector : sector + 8] == b"EFI PART":
+        first, count, size = struct.unpack_from("<QII", content, sector + 72)
+        out = []
+        for k in range(count):
+            at = first * sector + k * size
+            entry = content[at : at + size]
+            if len(entry) < 128 or not any(entry[:16]):
+                continue
+            kind = entry[:16]
+            guid = f"{kind[3::-1].hex()}-{kind[5:3:-1].hex()}-{kind[7:5:-1].hex()}-{kind[8:10].hex()}-{kind[10:].hex()}"
+            start, end = struct.unpack_from("<QQ", entry, 32)
+            out.append((k, start, end - start + 1, guid, entry[56:128].decode("utf-16-le", "replace").split("\0")[0]))
+        return out
+    out = []
+    for k in range(4):
+        kind, start, sectors = struct.unpack_from("<B3xII", content, 446 + 16 * k + 4)
+        if kind and sectors:
+            out.append((k, start, sectors, PARTITION_KINDS.get(kind, f"0x{kind:02X}"), None))
+    return out
+
+
+def recycled_entry(content: bytes) -> list[tuple]:
+    """(size, deleted_us, original_path) of a recycle bin's index file: the older version has a path of fixed length, the newer one its length."""
+    version, size, deleted = struct.unpack_from("<QQq", content)
+    if version == 1:
+        name = content[24 : 24 + 520]
+    elif version == 2:
+        name = content[28 : 28 + 2 * struct.unpack_from("<I", content, 24)[0]]
+    else:
+        raise ValueError(f"version {version}")
+    return [(size, (deleted - _EPOCH) // 10, name.decode("utf-16-le", "replace").split("\0")[0])]
+
+
+def prefetch_entry(content: bytes) -> list[tuple]:
+    """(name, version, run_count, run_us) of an uncompressed prefetch file; the versions keep one or up to eight times of runs."""
+    version, mark = struct.unpack_from("<I4s", content)
+    if mark != b"SCCA" or version not in (17, 23, 26, 30):
+        raise ValueError("no prefetch file")
+    name = content[16:76].decode("utf-16-le", "replace").split("\0")[0]
+    at, runs, count_at = {17: (120, 1, 144), 23: (128, 1, 152), 26: (128, 8, 208), 30: (128, 8, 208)}[version]
+    if version == 30 and struct.unpack_from("<I", content, 84)[0] < 304:  # the shorter of two layouts
+        count_at = 200
+    times = [t for t in struct.unpack_from(f"<{runs}q", content, at) if t]
+    return [(name, version, struct.unpack_from("<I", content, count_at)[0], [(t - _EPOCH) // 10 for t in times])]
+
+
+def partitions(frame: DataFrame, errors: bool = False) -> DataFrame:
+    return decoded(frame, lambda _, c: partition_entries(c), "number int, start_sector bigint, sectors bigint, kind string, label string", errors)
+
+
+def recycled(frame: DataFrame, errors: bool = False) -> DataFrame:
+    return decoded(frame, lambda _, c: recycled_entry(c), "size bigint, deleted_us bigint, original_path string", errors)
+
+
+def prefetched(frame: DataFrame, errors: bool = False) -> DataFrame:
+    return decoded(frame, lambda _, c: prefetch_entry(c), "name string, version int, run_count int, run_us array<bigint>", errors)
