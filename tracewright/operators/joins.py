@@ -57,10 +57,14 @@ def first_match(files: DataFrame, path: str, patterns: DataFrame, prefix: str, r
     return files.join(best, row, "left").select(*files.columns, *(F.col(f"_best.{c}").alias(f"matched_{c}") for c in [prefix, *others]))
 
 
-def zipped(left: DataFrame, right: DataFrame, left_order: list[Column], right_order: list[Column], by: list[str]) -> DataFrame:
-    """Row n of each group of ``left`` beside row n of the same group of ``right``; orders must be total. Longer sides lose their rest."""
-    a = left.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy(*left_order)))
-    b = right.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy(*right_order)))
+def zipped(left: DataFrame, right: DataFrame, left_order: list[Column], right_order: list[Column], by: list[str], hot: int | None = None) -> DataFrame:
+    """Row n of each group of ``left`` beside row n of the same group of ``right``; orders must be total. Longer sides lose their rest.
+
+    Rows are joined on group and number, so a hot group spreads over all tasks; it is numbered by ranges (see ``windows.positions``).
+    """
+    from tracewright.operators.windows import positions
+
+    a, b = positions(left, by, left_order, "_n", hot), positions(right, by, right_order, "_n", hot)
     return a.join(b, [*by, "_n"]).drop("_n")
 
 

@@ -264,9 +264,18 @@ def lookback_20_list(spark: SparkSession, d: str) -> DataFrame:
     return W.looked_back(e, ["h"], [F.col("ts"), F.col("event_id")], 20, "user_id", F.lit(True), "event_id", "nearest", 2).select("event_id", "nearest")
 
 
+@query(f"""{_BACK}, m as (select a.row_id, f.file_path, row_number() over (partition by a.row_id order by b.n desc) as k from r a join r b on a.par_id = b.par_id and a.n - b.n between 1 and 20 and a.redo_op = b.redo_op join logfile_parser f on f.row_id = b.row_id where f.file_path is not null),
+    g as (select row_id, arg_max(file_path, (length(file_path), -k)) as longest from m where k <= 2 group by 1) select row_id, longest from r left join g using (row_id)""")
+def lookback_20_longest(spark: SparkSession, d: str) -> DataFrame:
+    """Of the two nearest names among the 20 rows before the longer one."""
+    log = table(spark, d, "logfile_parser").select("row_id", "par_id", "redo_op", "file_path", F.col("lsn").cast("bigint").alias("at"))
+    seen = W.looked_back(log, ["par_id"], [F.col("at"), F.col("row_id")], 20, "redo_op", F.col("file_path").isNotNull(), "file_path", "names", 2)
+    return seen.select("row_id", W.longest(F.col("names")).alias("longest"))
+
+
 @query("select event_id, row_number() over (partition by user_id order by ts, event_id) = 1 as is_first from events")
 def first_row_flag(spark: SparkSession, d: str) -> DataFrame:
-    return W.first_rows(table(spark, d, "events"), ["user_id"], [F.col("ts"), F.col("event_id")]).select("event_id", "is_first")
+    return W.first_rows(table(spark, d, "events"), ["user_id"], ["ts", "event_id"]).select("event_id", "is_first")
 
 
 @query("select o_custkey, o_orderkey, row_number() over (partition by o_custkey order by o_totalprice desc, o_orderkey)::int as rank from orders qualify rank <= 3")
