@@ -73,3 +73,24 @@ def test_odd_sketches_estimate_high_similarities(share, seed):
 def test_components_of_a_chain(spark):
     links = spark.createDataFrame([(i, i + 1, 1.0) for i in range(0, 40)], "a bigint, b bigint, similarity double")
     assert {r["root"] for r in N.components(links).collect()} == {0}
+
+
+def test_many_edits_of_one_text_are_linked_by_stars(spark):
+    """Candidates of a large cluster grow with its rows, not with their pairs, and the groups are those of all pairs."""
+    rng = random.Random(9)
+    words = [f"w{i}" for i in range(300)]
+    rows = []
+    for i in range(2000):
+        w = list(words)
+        w[rng.randrange(300)] = f"e{i}"
+        rows.append((i, " ".join(w)))
+    rows += [(10_000 + i, " ".join(f"z{i}_{k}" for k in range(30))) for i in range(50)]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string")
+    members, reps = N._classes(frame, "doc_id", "text", N.WORDS)
+    shared = N.shared_bands(reps)
+    first = N.stars(shared)
+    assert members.count() == 2050 and first.count() <= N.BANDS * 2000
+    links = N._verified(first, reps, frame, "doc_id", "text", N.THRESHOLD, N.WORDS)
+    assert N.across(shared, N.components(links)).count() < 2000
+    groups = N.similar_groups(frame, "doc_id", "text").collect()
+    assert {(r["doc_id"], r["group_id"], r["copies"]) for r in groups} == {(i, 0, 1) for i in range(2000)}

@@ -8,6 +8,10 @@
    and only those near the threshold or above go on. The margin is ``SIGMAS`` standard deviations of the estimate.
 4. The texts of what is left are compared exactly. Only texts that a Bloom filter of the candidates' ids lets through are shuffled.
 
+Only band keys that two representatives or more share are joined. Groups need no pairs inside what is connected already: first each
+representative is compared with the least of each of its band keys (a star, so a key of n texts gives n - 1 candidates), and only
+representatives of one key that are still in different components are then compared with each other.
+
 Nothing is capped: a band key that very many texts share is joined like any other (adaptive execution splits it), and no pair is dropped
 unless its sketches differ. Of pairs at a similarity of exactly 0.6 the bands find 99.995 %, and more above.
 """
@@ -148,7 +152,8 @@ def _differing(a: Column, b: Column, words: int = SKETCH_BITS // 64) -> Column:
 
 def _compare(pairs: DataFrame, frame: DataFrame, row: str, text: str, threshold: float, width: int) -> DataFrame:
     """(a, b, similarity) of the pairs (a, b) whose texts reach ``threshold``."""
-    asked = bloom_filter(pairs.select(F.explode(F.array("a", "b")).alias("id")), "id")
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("id"))
+    asked = bloom_filter(ids, "id", items=ids.agg(F.approx_count_distinct("id")).first()[0])
     texts = frame.select(F.col(row).alias("id"), F.col(text).alias("t")).filter(might_contain(asked, F.col("id")))
     both = pairs.join(texts.select(F.col("id").alias("a"), F.col("t").alias("ta")), "a").join(texts.select(F.col("id").alias("b"), F.col("t").alias("tb")), "b")
 
@@ -165,19 +170,55 @@ def _compare(pairs: DataFrame, frame: DataFrame, row: str, text: str, threshold:
     return both.select("a", "b", "ta", "tb").mapInPandas(run, f"a {kind}, b {kind}, similarity double")
 
 
-def classes_and_links(frame: DataFrame, row: str, text: str, threshold: float = THRESHOLD, width: int = WORDS) -> tuple[DataFrame, DataFrame]:
-    """((id, rep) of each text with enough words, (a, b, similarity) between representatives, a < b)."""
+def _classes(frame: DataFrame, row: str, text: str, width: int) -> tuple[DataFrame, DataFrame]:
+    """((id, rep) of each text with enough words, (id, bands, sketch) of the representatives)."""
     base = cut(_features(frame, row, text, width))
     classes = base.groupBy("f1", "f2").agg(F.min("id").alias("rep"))
     members = cut(base.select("id", "f1", "f2").join(classes, ["f1", "f2"]).select("id", "rep"))
+    # what the filter of copies rejects is a representative for sure; only the rest is looked up
     copies = members.filter("id <> rep").select("id")
-    reps = base.join(copies, "id", "left_anti")
+    known = bloom_filter(copies, "id", items=copies.count())
+    sure, unsure = base.filter(~might_contain(known, F.col("id"))), base.filter(might_contain(known, F.col("id")))
+    return members, sure.select("id", "bands", "sketch").unionByName(unsure.join(copies, "id", "left_anti").select("id", "bands", "sketch"))
+
+
+def shared_bands(reps: DataFrame) -> DataFrame:
+    """(band, id, least): the representatives of each band key that at least two have, and the least of them."""
     banded = reps.select("id", F.explode("bands").alias("band"))
-    pairs = banded.select(F.col("id").alias("a"), "band").join(banded.select(F.col("id").alias("b"), "band"), "band").filter("a < b").select("a", "b").distinct()
+    several = cut(banded.groupBy("band").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("band", "least"))
+    asked = bloom_filter(several, "band", items=several.count())
+    return cut(banded.filter(might_contain(asked, F.col("band"))).join(several, "band"))
+
+
+def _verified(pairs: DataFrame, reps: DataFrame, frame: DataFrame, row: str, text: str, threshold: float, width: int) -> DataFrame:
+    """(a, b, similarity) of the candidates whose odd sketches and then texts are similar enough."""
     sketches = reps.select("id", "sketch")
     near = pairs.join(sketches.select(F.col("id").alias("a"), F.col("sketch").alias("sa")), "a").join(sketches.select(F.col("id").alias("b"), F.col("sketch").alias("sb")), "b")
     near = cut(near.filter(_differing(F.col("sa"), F.col("sb")) <= popcount_limit(threshold, BANDS * ROWS, SKETCH_BITS)).select("a", "b"))
-    return members, cut(_compare(near, frame, row, text, threshold, width))
+    return cut(_compare(near, frame, row, text, threshold, width))
+
+
+def classes_and_links(frame: DataFrame, row: str, text: str, threshold: float = THRESHOLD, width: int = WORDS) -> tuple[DataFrame, DataFrame]:
+    """((id, rep) of each text with enough words, (a, b, similarity) between representatives, a < b)."""
+    members, reps = _classes(frame, row, text, width)
+    shared = shared_bands(reps)
+    pairs = shared.select(F.col("id").alias("a"), "band").join(shared.select(F.col("id").alias("b"), "band"), "band").filter("a < b").select("a", "b").distinct()
+    return members, _verified(pairs, reps, frame, row, text, threshold, width)
+
+
+def stars(shared: DataFrame) -> DataFrame:
+    """(a, b): each representative with the least of each of its band keys; as many rows as there are shared keys at most."""
+    return shared.filter("id <> least").select(F.col("least").alias("a"), F.col("id").alias("b")).distinct()
+
+
+def across(shared: DataFrame, roots: DataFrame) -> DataFrame:
+    """(a, b), a < b: representatives of one band key that are in different components by ``roots`` (id, root); others are components of their own."""
+    marked = shared.select("band", "id").join(roots, "id", "left").select("band", "id", F.coalesce("root", "id").alias("root"))
+    marked = cut(marked)
+    open_ = marked.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("band")
+    left = cut(marked.join(open_, "band"))
+    a, b = left.select("band", F.col("id").alias("a"), F.col("root").alias("ra")), left.select("band", F.col("id").alias("b"), F.col("root").alias("rb"))
+    return a.join(b, "band").filter("a < b and ra <> rb").select("a", "b").distinct()
 
 
 def similar_pairs(frame: DataFrame, row: str, text: str, threshold: float = THRESHOLD, width: int = WORDS) -> DataFrame:
@@ -217,15 +258,17 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def similar_groups(frame: DataFrame, row: str, text: str, threshold: float = THRESHOLD, width: int = WORDS) -> DataFrame:
-    """(row, group_id, copies, links): one row for each text that has a near duplicate or copy.
+    """(row, group_id, copies): one row for each text that has a near duplicate or copy.
 
-    group_id is the smallest id of the connected component; copies counts the rows of equal shingles (itself too), links the other
-    classes that are similar to its class.
+    group_id is the smallest id of the connected component; copies counts the rows of equal shingles (itself too). Null, empty and short texts are
+    in no group; an empty table has none.
     """
-    members, links = classes_and_links(frame, row, text, threshold, width)
-    root = components(links)
-    degree = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count(F.lit(1)).alias("links"))
+    members, reps = _classes(frame, row, text, width)
+    shared = shared_bands(reps)
+    first = _verified(stars(shared), reps, frame, row, text, threshold, width)
+    rest = _verified(across(shared, components(first)), reps, frame, row, text, threshold, width)
+    root = components(first.unionByName(rest))
     copies = members.groupBy("rep").agg(F.count(F.lit(1)).alias("copies"))
-    per = copies.join(degree, "rep", "left").join(root.withColumnRenamed("id", "rep"), "rep", "left").filter("copies > 1 or links is not null")
-    per = per.select("rep", F.coalesce("root", "rep").alias("group_id"), "copies", F.coalesce("links", F.lit(0)).alias("links"))
-    return members.join(per, "rep").select(F.col("id").alias(row), "group_id", "copies", "links")
+    per = copies.join(root.withColumnRenamed("id", "rep"), "rep", "left").filter("copies > 1 or root is not null")
+    per = per.select("rep", F.coalesce("root", "rep").alias("group_id"), "copies")
+    return members.join(per, "rep").select(F.col("id").alias(row), "group_id", "copies")
