@@ -14,7 +14,7 @@ from tracewright.plans import classifier
 from tracewright.plans.registering import Queries
 from tracewright.plans.registry import ANALYSES, Registry, fitting_plugins
 from tracewright.session import table
-from tracewright.sources import files, records, sinks
+from tracewright.sources import files, hives, records, sinks
 
 CASES = Queries()
 query = CASES.query
@@ -323,6 +323,41 @@ def damaged_archives(spark: SparkSession, d: str) -> DataFrame:
     return files.zip_entries(_files(table(spark, d, "supplier"), "s_suppkey", F.col("s_name")), errors=True).filter("error is not null").select("path", "error")
 
 
+@query("""with k as (select p_partkey::varchar as path, fact, v from part, (values ('hostname', 1), ('time_zone', 2), ('product', 3)) f(fact, v)) select path, fact, case v when 1 then p_name when 2 then p_brand else p_type end as value from k join part on p_partkey::varchar = path""")
+def system_fact_values(spark: SparkSession, d: str) -> DataFrame:
+    """What registry values tell about systems: of two control sets the first counts."""
+    p = table(spark, d, "part").withColumn("path", F.col("p_partkey").cast("string"))
+    rows = F.array(*(F.struct(F.lit(k).alias("key"), F.lit(n).alias("name"), v.alias("value")) for k, n, v in (
+        ("ControlSet001/Control/ComputerName/ComputerName", "ComputerName", F.col("p_name")), ("ControlSet002/Control/ComputerName/ComputerName", "ComputerName", F.lit("other")), ("ControlSet001/Control/TimeZoneInformation", "timezonekeyname", F.col("p_brand")),
+        ("Microsoft/Windows NT/CurrentVersion", "ProductName", F.col("p_type")), ("Microsoft/Windows NT/CurrentVersion", "Other", F.lit("x")))))
+    return hives.system_facts(p.select("path", F.inline(rows)))
+
+
+@query("""select c_custkey::varchar as path, 'S-1-5-21-' || c_custkey as sid, 'C:/Users/u' || c_nationkey as folder, 'u' || c_nationkey as user from customer""")
+def user_account_folders(spark: SparkSession, d: str) -> DataFrame:
+    """Profiles by their user's identifier."""
+    c = table(spark, d, "customer")
+    key = F.concat(F.lit("Microsoft/Windows NT/CurrentVersion/ProfileList/S-1-5-21-"), "c_custkey")
+    return hives.user_accounts(c.select(F.col("c_custkey").cast("string").alias("path"), key.alias("key"), F.lit("ProfileImagePath").alias("name"), F.concat(F.lit("C:/Users/u"), "c_nationkey").alias("value")))
+
+
+@query("select ext, createdtime, count(*) as versions from (select distinct ext, source, createdtime, lang from documents) group by 1, 2")
+def snapshot_versions(spark: SparkSession, d: str) -> DataFrame:
+    """Files that several snapshots hold, once for each state of their times."""
+    docs = table(spark, d, "documents").withColumn("inode", F.concat_ws("|", F.coalesce("ext", F.lit("?")), F.coalesce("source", F.lit("?"))))
+    return files.unique_versions(docs, "inode", ["createdtime", "lang"]).groupBy("ext", "createdtime").agg(F.count(F.lit(1)).alias("versions"))
+
+
+@query("""select p_partkey::varchar as path, p_name || '.EXE' as name, 30 as version, p_size as run_count, [(13300000000 + p_partkey - 11644473600) * 1000000] as run_us from part""")
+def prefetch_files(spark: SparkSession, d: str) -> DataFrame:
+    """Prefetch files from bytes."""
+    p = table(spark, d, "part")
+    name = F.rpad(F.regexp_replace(F.hex(F.encode(F.concat("p_name", F.lit(".EXE")), "US-ASCII")), "(..)", "$100"), 120, "0")
+    head = F.concat(F.lit("1E000000" + "53434341" + "00" * 8), name, F.lit("00" * 8), F.lit("30010000"), F.lit("00" * 40))
+    content = F.unhex(F.concat(head, _little((F.col("p_partkey") + 13_300_000_000) * 10_000_000, 8), F.lit("00" * 56), F.lit("00" * 16), _little(F.col("p_size").cast("bigint"), 4), F.lit("00" * 88)))
+    return records.prefetched(p.select(F.col("p_partkey").cast("string").alias("path"), content.alias("content")))
+
+
 # ------------------------------------------------------------------ detectors
 
 _PHONES = (r"^\+?[0-9]{8,14}$", r"^[0-9]{2,4}-[0-9]{3,4}-[0-9]{4}$", r"^\+[0-9]{1,3}-[0-9]{1,4}-[0-9]{3,4}-[0-9]{4}$", r"^\([0-9]{2,4}\) ?[0-9]{3,4}-[0-9]{4}$")

@@ -6,12 +6,14 @@ Arrow batches. A file that can't be decoded gives one row with the kind of error
 
 from __future__ import annotations
 
+import contextlib
 import email
 import email.policy
 import io
 import json
 import plistlib
 import re
+import sqlite3
 import zipfile
 from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
@@ -36,16 +38,27 @@ def contents(spark: SparkSession, folder: str, glob: str = "*") -> DataFrame:
     return files.select(F.regexp_replace("path", r"^file:/*", "/").alias("path"), "content")
 
 
+#: ``**`` in a search path goes at most so deep.
+DEEPEST = 10
+
+
 def found_by(files: DataFrame, segments: list[str], variables: dict[str, list[str]] | None = None, path: str = "path") -> DataFrame:
-    """The files whose last segments match regular expressions regardless of case; ``%name%`` in a segment stands for any of its values."""
-    import re
+    """The files whose last segments match regular expressions regardless of case; ``%name%`` in a segment stands for any of its values, and the
+    segment ``**`` for up to ``DEEPEST`` folders."""
 
     def filled(s: str) -> str:
         for k, values in (variables or {}).items():
             s = re.sub(re.escape(f"%{k}%"), lambda _, v=values: "(?:" + "|".join(re.escape(x) for x in v) + ")", s, flags=re.I)
         return s
 
-    return files.filter(F.col(path).rlike("(?i)/" + "/".join(filled(s) for s in segments) + "$"))
+    pattern = "".join(rf"(?:[^/]+/){{0,{DEEPEST}}}" if s == "**" else filled(s) + "/" for s in segments).removesuffix("/")
+    return files.filter(F.col(path).rlike(f"(?i)/{pattern}$"))
+
+
+def unique_versions(files: DataFrame, inode: str, times: list[str]) -> DataFrame:
+    """One row for each file and state of its times: a file that several snapshots hold unchanged comes out once. Null times are times like others."""
+    state = F.xxhash64(*(F.coalesce(F.col(t).cast("string"), F.lit("")) for t in times))
+    return files.withColumn("time_hash", state).dropDuplicates([inode, "time_hash"])
 
 
 def within_depth(files: DataFrame, depth: int, root: str, path: str = "path") -> DataFrame:
@@ -281,15 +294,19 @@ def event_texts(frame: DataFrame, xml: str) -> DataFrame:
     return frame.select("*", get(name("EventID")).alias("event_id"), get(name("Channel")).alias("channel"), get(name("TimeCreated") + "/@SystemTime").alias("time_created"), get(name("Security") + "/@UserID").alias("user_sid"))
 
 
-def document_texts(frame: DataFrame) -> DataFrame:
-    """(path, kind, text, revisions) of office documents and plain texts: the words of their XML, and the revision ids of text documents."""
-    import re
+def document_texts(frame: DataFrame, plugins: dict[str, Callable[[bytes], tuple[str, str]]] | None = None, errors: bool = False) -> DataFrame:
+    """(path, kind, text, revisions) of office documents and plain texts: the words of their XML, and the revision ids of text documents.
+
+    ``plugins`` gives readers for other extensions, or other readers for these: content -> (text, revisions).
+    """
     import xml.etree.ElementTree as tree
 
     bodies = {"docx": r"word/document\.xml", "pptx": r"ppt/slides/slide\d+\.xml", "xlsx": r"xl/sharedStrings\.xml"}
 
     def decode(path: str, content: bytes) -> list[tuple]:
         kind = path.rpartition(".")[2].lower()
+        if plugins and kind in plugins:
+            return [(kind, *plugins[kind](content))]
         if kind == "txt":
             return [(kind, content.decode("utf-8", "replace"), "")]
         if kind not in bodies:
@@ -301,4 +318,18 @@ def document_texts(frame: DataFrame) -> DataFrame:
             ids = [v for e in settings if e.tag.rpartition("}")[2].startswith("rsid") for v in e.attrib.values()]
         return [(kind, " ".join(words), "".join(ids))]
 
-    return decoded(frame, decode, "kind string, text string, revisions string")
+    return decoded(frame, decode, "kind string, text string, revisions string", errors)
+
+
+def sqlite_rows(frame: DataFrame, query: str, schema: str, errors: bool = False) -> DataFrame:
+    """The rows that ``query`` gives in each SQLite file of ``frame`` (path, content), wherever the files lie; nothing is copied to a disk.
+
+    What a log beside the file holds isn't seen; for that, ``sources.sqlite`` opens local files.
+    """
+
+    def decode(_: str, content: bytes) -> list[tuple]:
+        with contextlib.closing(sqlite3.connect(":memory:")) as db:
+            db.deserialize(content)
+            return db.execute(query).fetchall()
+
+    return decoded(frame, decode, schema, errors)

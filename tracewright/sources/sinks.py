@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -42,8 +44,50 @@ def updated(frame: DataFrame, changes: dict) -> DataFrame:
     return frame.select(*(F.when(changes[c][0], changes[c][1]).otherwise(F.col(c)).alias(c) if c in changes else F.col(c) for c in frame.columns))
 
 
-def export_csv(frame: DataFrame, path: str, mark: bool = False) -> None:
-    """CSV with a header, in as many files as partitions; ``mark`` puts a byte-order mark before the first column's name."""
+def with_index(frame: DataFrame, name: str = "index") -> DataFrame:
+    """``frame`` with its rows numbered 0, 1, 2 ... in the order of its partitions; the numbers of partitions are added up, so no row moves."""
+    rows = frame.select(F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().alias("_id"), *frame.columns)
+    sizes = {r["_part"]: r["n"] for r in rows.groupBy("_part").agg(F.count(F.lit(1)).alias("n")).collect()}  # as many as there are partitions
+    starts, total = {}, 0
+    for part in sorted(sizes):
+        starts[part] = total
+        total += sizes[part]
+    start = F.element_at(F.create_map(*(F.lit(x) for kv in starts.items() for x in kv)), F.col("_part")).cast("bigint") if starts else F.lit(0).cast("bigint")
+    return rows.select((F.col("_id") - F.shiftleft(F.col("_part").cast("bigint"), 33) + start).alias(name), *frame.columns)
+
+
+def send_batches(frame: DataFrame, send: Callable[[list[dict]], None], size: int = 500) -> None:
+    """Hand the rows to ``send`` in lists of up to ``size``, on the executors. A task that is repeated sends again, so ids should make that harmless."""
+
+    def run(rows) -> None:
+        waiting: list[dict] = []
+        for row in rows:
+            waiting.append(row.asDict(recursive=True))
+            if len(waiting) >= size:
+                send(waiting)
+                waiting = []
+        if waiting:
+            send(waiting)
+
+    frame.foreachPartition(run)
+
+
+def append_jdbc(frame: DataFrame, url: str, name: str, properties: dict[str, str] | None = None) -> None:
+    """Append to a table of another database, which is made if it is absent."""
+    frame.write.mode("append").jdbc(url, name, properties=properties or {})
+
+
+def named_table(spark: SparkSession, names: DataFrame, column: str) -> DataFrame:
+    """The table whose name stands in the first row of ``names``; no row is an error."""
+    found = names.select(column).filter(F.col(column).isNotNull()).orderBy(column).first()
+    if found is None:
+        raise LookupError(f"no table is named in {column}")
+    return spark.table(found[0])
+
+
+def export_csv(frame: DataFrame, path: str, mark: bool = False, index: bool = False) -> None:
+    """CSV with a header, in as many files as partitions; ``mark`` puts a byte-order mark before the first column's name, ``index`` numbers the rows."""
+    frame = with_index(frame) if index else frame
     if mark:
         frame = frame.withColumnRenamed(frame.columns[0], "﻿" + frame.columns[0])
     frame.write.mode("overwrite").option("header", True).csv(path)
