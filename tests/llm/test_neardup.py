@@ -94,3 +94,12 @@ def test_many_edits_of_one_text_are_linked_by_stars(spark):
     assert N.across(shared, N.components(links)).count() < 2000
     groups = N.similar_groups(frame, "doc_id", "text").collect()
     assert {(r["doc_id"], r["group_id"], r["copies"]) for r in groups} == {(i, 0, 1) for i in range(2000)}
+
+
+def test_merged_roots(spark):
+    links = spark.createDataFrame([(1, 2), (5, 6), (8, 9)], "a bigint, b bigint")
+    roots = N.components(links)
+    more = spark.createDataFrame([(2, 6), (20, 21), (9, 30)], "a bigint, b bigint")
+    got = {r["id"]: r["root"] for r in N.merged_roots(roots, more).collect()}
+    assert got == {1: 1, 2: 1, 5: 1, 6: 1, 8: 8, 9: 8, 30: 8, 20: 20, 21: 20}
+    assert N.merged_roots(roots, more.limit(0)).count() == 6

@@ -257,6 +257,17 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("id"), F.col("v").alias("root")).unionByName(roots)
 
 
+def merged_roots(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """(id, root) after further ``links`` (a, b): the components that ``roots`` knows are single nodes here, so little is left to connect."""
+    own = lambda side: roots.select(F.col("id").alias(side), F.col("root").alias(f"r{side}"))
+    edges = cut(links.select("a", "b").join(own("a"), "a", "left").join(own("b"), "b", "left").select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b")).distinct())
+    if edges.isEmpty():
+        return roots
+    new = links.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(roots, "id", "left_anti").select("id", F.col("id").alias("root"))
+    top = components(edges).select(F.col("id").alias("root"), F.col("root").alias("top"))
+    return roots.unionByName(new).join(top, "root", "left").select("id", F.coalesce("top", "root").alias("root"))
+
+
 def similar_groups(frame: DataFrame, row: str, text: str, threshold: float = THRESHOLD, width: int = WORDS) -> DataFrame:
     """(row, group_id, copies): one row for each text that has a near duplicate or copy.
 
@@ -266,8 +277,9 @@ def similar_groups(frame: DataFrame, row: str, text: str, threshold: float = THR
     members, reps = _classes(frame, row, text, width)
     shared = shared_bands(reps)
     first = _verified(stars(shared), reps, frame, row, text, threshold, width)
-    rest = _verified(across(shared, components(first)), reps, frame, row, text, threshold, width)
-    root = components(first.unionByName(rest))
+    roots = components(first)
+    rest = _verified(across(shared, roots), reps, frame, row, text, threshold, width)
+    root = merged_roots(roots, rest)
     copies = members.groupBy("rep").agg(F.count(F.lit(1)).alias("copies"))
     per = copies.join(root.withColumnRenamed("id", "rep"), "rep", "left").filter("copies > 1 or root is not null")
     per = per.select("rep", F.coalesce("root", "rep").alias("group_id"), "copies")
