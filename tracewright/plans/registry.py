@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from tracewright.sources import files, hives, records
+from tracewright.sources import eventlogs, files, hives, records
 
 
 class Registry:
@@ -48,6 +48,6 @@ def fitting_plugins(required: dict[str, set[str]], tables: set[str]) -> list[str
 SOURCES, ANALYSES = Registry(), Registry()
 
 # What can be read, by name: decoders of (path, content).
-for _module, _names in ((files, ("zip_entries", "mails", "mail_boxes", "pages", "activities", "property_lists", "document_texts")), (records, ("journal", "file_table", "links", "partitions", "recycled", "prefetched")), (hives, ("registry_values",))):
+for _module, _names in ((files, ("zip_entries", "mails", "mail_boxes", "pages", "activities", "property_lists", "document_texts")), (records, ("journal", "file_table", "links", "partitions", "recycled", "prefetched")), (hives, ("registry_values",)), (eventlogs, ("event_logs",))):
     for _name in _names:
         SOURCES.add(_name, getattr(_module, _name))
