@@ -61,7 +61,7 @@ def orphans(child: DataFrame, column: str, parents: DataFrame, key: str, deletio
     refs = child.select(F.col(row).alias("row"), same_key(F.col(column)).alias("key"), F.col(loaded).alias("seen")).filter("key is not null")
     refs = refs.withColumn("period", F.date_format("seen", "yyyy-MM"))
     keys = parents.select(same_key(F.col(key)).alias("key"))
-    known = bloom_filter(keys, "key", max_bits, items=keys.agg(F.approx_count_distinct("key")).first()[0])
+    known = bloom_filter(keys, "key", max_bits, items=parents.count())
     # A reference that the filter rejects is proven to be an orphan: it goes on without a key, so it takes no part in the join (and is spread
     # evenly if the join shuffles).
     refs = refs.withColumn("key", F.when(might_contain(known, F.col("key")), F.col("key")))

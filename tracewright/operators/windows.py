@@ -20,7 +20,13 @@ HOT_ROWS = 1_000_000
 RANGES = 1000
 
 
+#: An input that the optimiser knows to have at most so many bytes has no group that is too large for one task.
+SMALL_BYTES = 64 << 20
+
+
 def has_hot_groups(frame: DataFrame, by: list[str], hot: int) -> bool:
+    if hot >= HOT_ROWS and int(frame._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString()) <= SMALL_BYTES:
+        return False
     return not frame.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > hot).isEmpty()
 
 

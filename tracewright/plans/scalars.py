@@ -399,28 +399,38 @@ _SEMANTIC = {
     "web_browser_history": ["timestamp", "url", "file", "source", "digit_positive", "package_name"], "call_history": ["phonenumber", "timestamp", "time_duration", "row_id"], "geodata": ["longitude", "latitude", "package_name", "timestamp"],
     "id_password_hash": ["account", "pwd", "url", "contents"], "lv1_os_win_reg_user_assist": ["file_name", "focus_seconds", "last_run_time"], "partition_info": ["par_size", "sector_size", "par_id"], "customer": ["c_acctbal", "c_name"],
 }
-_LONG_SQL = " union all ".join(f"""select '{t}' as "table", '{c}' as "column", {c}::varchar as value from {t}""" for t, cs in _SEMANTIC.items() for c in cs)
+
+
+def _long_sql(columns: dict[str, list[str]]) -> str:
+    return " union all ".join(f"""select '{t}' as "table", '{c}' as "column", {c}::varchar as value from {t}""" for t, cs in columns.items() for c in cs)
+
+
 _PLAIN_SQL = "case when regexp_full_match(value, '[^\\n]*\\([A-Za-z0-9_]+:[A-Za-z0-9_]+\\)') then regexp_extract(value, '^(.*)\\(([A-Za-z0-9_]+):([A-Za-z0-9_]+)\\)$', 1) else value end"
 
 
-def _long(spark: SparkSession, d: str) -> DataFrame:
-    return R.union_of([A.long_form(table(spark, d, t), t, c) for t, c in _SEMANTIC.items()])
+def _long(spark: SparkSession, d: str, columns: dict[str, list[str]]) -> DataFrame:
+    return R.union_of([A.long_form(table(spark, d, t), t, c) for t, c in columns.items()])
 
 
-@query(f"""with v as (select "table", "column", {_PLAIN_SQL} as value from ({_LONG_SQL})), k as (select "table", "column", {semantic_sql("value", '"column"')} as t from v)
+@query(f"""with v as (select "table", "column", {_PLAIN_SQL} as value from ({_long_sql(_SEMANTIC)})), k as (select "table", "column", {semantic_sql("value", '"column"')} as t from v)
     select "table", "column", split_part(t, '|', 1) as type, split_part(t, '|', 2) as format, count(*) as cnt from k group by all""")
 def semantic_types(spark: SparkSession, d: str) -> DataFrame:
     """The semantic types of all values of several tables' columns."""
-    values = _long(spark, d).withColumn("value", texts.annotated(F.col("value"))["value"])
+    values = _long(spark, d, _SEMANTIC).withColumn("value", texts.annotated(F.col("value"))["value"])
     kinds = values.select("table", "column", semantic_type(F.col("value"), F.col("column")).alias("t"))
     return kinds.groupBy("table", "column", "t.type", "t.format").agg(F.count(F.lit(1)).alias("cnt"))
 
 
-@query(f"""with v as (select distinct * from ({_LONG_SQL}) where value is not null), r as (select *, row_number() over (partition by "table", "column" order by encode(value) desc) as r from v), k as (select "table", "column", {semantic_sql("value", '"column"')} as t from r where r <= 50)
+_PROFILED = {
+    "web_browser_history": ["timestamp", "url", "file", "source", "digit_positive"], "call_history": ["phonenumber", "timestamp", "time_duration"], "geodata": ["longitude", "latitude", "package_name"], "id_password_hash": ["account", "pwd", "url"],
+}
+
+
+@query(f"""with v as (select distinct * from ({_long_sql(_PROFILED)}) where value is not null), r as (select *, row_number() over (partition by "table", "column" order by encode(value) desc) as r from v), k as (select "table", "column", {semantic_sql("value", '"column"')} as t from r where r <= 50)
     select "table", "column", split_part(t, '|', 1) as type, split_part(t, '|', 2) as format, count(*) as cnt from k where t <> 'UNKNOWN|UNKNOWN' group by all""")
 def semantic_profile(spark: SparkSession, d: str) -> DataFrame:
     """Semantic types among the greatest values of each column: a profile by sampling, which is the feature."""
-    return A.profile(_long(spark, d))
+    return A.profile(_long(spark, d, _PROFILED))
 
 
 # ------------------------------------------------------------------ classifier

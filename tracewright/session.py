@@ -6,6 +6,7 @@ import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, MapType, StringType, StructType, VariantType
 
 #: A lookup table is broadcast only if it was measured to have at most this many rows and about this many bytes ...
 BROADCAST_ROWS = 200_000
@@ -64,19 +65,28 @@ def cut(frame: DataFrame) -> DataFrame:
 
 def fits(frame: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> bool:
     """Whether ``frame`` was measured to be small enough for a broadcast, arrays and long texts counted in."""
-    n, total = frame.agg(F.count(F.lit(1)), F.sum(F.length(F.to_json(F.struct("*"))))).first()
-    return n <= rows and (total or 0) <= size
+    parts, fixed = [], 0
+    for f in frame.schema:
+        if isinstance(f.dataType, (StringType, BinaryType)):
+            parts.append(F.coalesce(F.length(f.name), F.lit(0)))
+        elif isinstance(f.dataType, (ArrayType, MapType, StructType, VariantType)):
+            parts.append(F.length(F.to_json(F.struct(f.name))))
+        else:
+            fixed += 8
+    n, total = frame.agg(F.count(F.lit(1)), F.sum(sum(parts, F.lit(0).cast("bigint")))).first()
+    return n <= rows and n * fixed + (total or 0) <= size
 
 
 def lookup(facts: DataFrame, small: DataFrame, key: str | list[str], salt_by: str, how: str = "left", rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
     """Join ``facts`` to the unique-key table ``small``.
 
     ``small`` is measured first. Up to ``rows`` rows and ``size`` bytes it is broadcast; beyond, both sides are shuffled on (key, salt), so that a
-    key that holds a third of ``facts`` is spread over ``SALTS`` tasks. Null keys match nothing; each gets a salt of its own, so however many
+    key that holds a third of ``facts`` is spread over ``SALTS`` tasks (with ``rows`` of 0 at once; adaptive execution may still broadcast what turns
+    out to be small). Null keys match nothing; each gets a salt of its own, so however many
     there are they are spread over all tasks.
     """
     on = [key] if isinstance(key, str) else key
-    if fits(small, rows, size):
+    if rows and fits(small, rows, size):
         return facts.join(F.broadcast(small), on, how)
     null = F.greatest(*(F.col(k).isNull() for k in on), F.lit(False))
     salted = facts.withColumn("_salt", F.when(null, F.xxhash64(salt_by)).otherwise(F.pmod(F.xxhash64(salt_by), F.lit(SALTS))))
