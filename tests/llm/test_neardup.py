@@ -87,7 +87,7 @@ def test_many_edits_of_one_text_are_linked_by_stars(spark):
     rows += [(10_000 + i, " ".join(f"z{i}_{k}" for k in range(30))) for i in range(50)]
     frame = spark.createDataFrame(rows, "doc_id bigint, text string")
     members, reps = N._classes(frame, "doc_id", "text", N.WORDS)
-    shared = N.shared_bands(reps)
+    shared = N.shared_bands(reps).cache()
     first = N.stars(shared)
     assert members.count() == 2050 and first.count() <= N.BANDS * 2000
     links = N._verified(first, reps, frame, "doc_id", "text", N.THRESHOLD, N.WORDS)

@@ -152,8 +152,7 @@ def _differing(a: Column, b: Column, words: int = SKETCH_BITS // 64) -> Column:
 
 def _compare(pairs: DataFrame, frame: DataFrame, row: str, text: str, threshold: float, width: int) -> DataFrame:
     """(a, b, similarity) of the pairs (a, b) whose texts reach ``threshold``."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id"))
-    asked = bloom_filter(ids, "id", items=ids.agg(F.approx_count_distinct("id")).first()[0])
+    asked = bloom_filter(pairs.select(F.explode(F.array("a", "b")).alias("id")), "id", items=2 * pairs.count())
     texts = frame.select(F.col(row).alias("id"), F.col(text).alias("t")).filter(might_contain(asked, F.col("id")))
     both = pairs.join(texts.select(F.col("id").alias("a"), F.col("t").alias("ta")), "a").join(texts.select(F.col("id").alias("b"), F.col("t").alias("tb")), "b")
 
@@ -187,7 +186,7 @@ def shared_bands(reps: DataFrame) -> DataFrame:
     banded = reps.select("id", F.explode("bands").alias("band"))
     several = cut(banded.groupBy("band").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("band", "least"))
     asked = bloom_filter(several, "band", items=several.count())
-    return cut(banded.filter(might_contain(asked, F.col("band"))).join(several, "band"))
+    return banded.filter(might_contain(asked, F.col("band"))).join(several, "band")
 
 
 def _verified(pairs: DataFrame, reps: DataFrame, frame: DataFrame, row: str, text: str, threshold: float, width: int) -> DataFrame:
@@ -275,7 +274,7 @@ def similar_groups(frame: DataFrame, row: str, text: str, threshold: float = THR
     in no group; an empty table has none.
     """
     members, reps = _classes(frame, row, text, width)
-    shared = shared_bands(reps)
+    shared = cut(shared_bands(reps))
     first = _verified(stars(shared), reps, frame, row, text, threshold, width)
     roots = components(first)
     rest = _verified(across(shared, roots), reps, frame, row, text, threshold, width)

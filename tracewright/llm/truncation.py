@@ -106,7 +106,7 @@ def find_truncated(frame: DataFrame, row: str, text: str, final_share: float = F
     frame = spread(frame.select(row, text))
     ends = cut(final_keys(frame, row, text))
     keys = ends.select(F.explode(F.array(*_KEYS)).alias("k"))
-    wanted = bloom_filter(keys, "k", items=keys.agg(F.approx_count_distinct("k")).first()[0])
+    wanted = bloom_filter(keys, "k", items=len(_KEYS) * ends.count())
     counts = all_keys(once(frame, text, ends), "text", wanted).groupBy("k").agg(F.sum("weight").alias("n"), F.count(F.lit(1)).alias("m"))
     shape = ("word", "mark", *_KEYS)
     texts = ends.select("h", "i", *shape).distinct()
@@ -135,9 +135,9 @@ def find_truncated(frame: DataFrame, row: str, text: str, final_share: float = F
     # numbers and marks after words that occur nowhere else are left alone: most are signatures
     known = word | (other("m_p2") > 0)
     rule = F.when((usual < final_share) & ~closing & known, "inside").when(~F.col("key.mark") & (follow < follow_share), "broken")
-    judged = cut(wide.select("key.*", rule.alias("rule")).filter("rule is not null"))
-    # an end that a third of the texts share is spread over salts if the verdicts are too many to broadcast
-    return lookup(ends, judged, list(shape), "row", "inner").select(F.col("row").alias(row), "rule")
+    judged = wide.select("key.*", rule.alias("rule")).filter("rule is not null")
+    # an end that a third of the texts share is spread over salts
+    return lookup(ends, judged, list(shape), "row", "inner", rows=0).select(F.col("row").alias(row), "rule")
 
 
 def truncation_report(frame: DataFrame, found: DataFrame, row: str, source: str, text: str) -> DataFrame:
