@@ -25,7 +25,7 @@ SMALL_BYTES = 64 << 20
 
 
 def has_hot_groups(frame: DataFrame, by: list[str], hot: int) -> bool:
-    if hot >= HOT_ROWS and int(frame._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString()) <= SMALL_BYTES:
+    if hot >= HOT_ROWS and int(str(frame._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= SMALL_BYTES:
         return False
     return not frame.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > hot).isEmpty()
 
