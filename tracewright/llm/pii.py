@@ -3,7 +3,7 @@
 High-recall generators propose overlapping spans; boosted trees score each by its format, its surroundings and how often its words
 are used as names in the corpus; calibrated thresholds and then the best non-overlapping choice select the mentions. The trees are
 trained on the driver on made-up sentences (``training_rows``, ``TRAINING_SENTENCES`` of them). Their templates were written for this module,
-not taken from any corpus; ``held_out_figures`` trains without every fifth template and judges the sentences of those.
+not taken from any corpus (some negative ones were added after a look at false findings); ``held_out_figures`` trains without every fifth template and judges the sentences of those.
 
 How often a word is used as a given or family name is counted over the whole corpus. A count matters only in relation to the others: a
 level of 6 is that of a usual name, each level more twice as often, so levels don't change as the corpus grows, and words that are 64 times
